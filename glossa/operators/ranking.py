@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from glossa.session import materialize
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
+                      total: str | None = None) -> DataFrame:
     """1-based row number under a total order, computed without a single-task window.
 
     Plan: a range-partitioned sort (distributed), tag each row with its sort
@@ -31,10 +32,48 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn")
     tagged = materialize(tagged)
     stats = tagged.groupBy("_gr_p").agg(F.count(F.lit(1)).alias("_gr_n"), F.min("_gr_m").alias("_gr_0"))
     prior = Window.orderBy("_gr_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select("_gr_p", "_gr_0", F.coalesce(F.sum("_gr_n").over(prior), F.lit(0)).alias("_gr_off"))
+    everything = Window.partitionBy(F.lit(0))
+    offsets = stats.select("_gr_p", "_gr_0", F.coalesce(F.sum("_gr_n").over(prior), F.lit(0)).alias("_gr_off"),
+                           F.sum("_gr_n").over(everything).alias("_gr_tot"))
     out = tagged.join(F.broadcast(offsets), "_gr_p").withColumn(
         name, F.col("_gr_off") + F.col("_gr_m") - F.col("_gr_0") + F.lit(1))
-    return out.drop("_gr_p", "_gr_m", "_gr_0", "_gr_off")
+    if total:
+        out = out.withColumn(total, F.col("_gr_tot"))
+    return out.drop("_gr_p", "_gr_m", "_gr_0", "_gr_off", "_gr_tot")
+
+
+def grouped_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn",
+                       total: str | None = None) -> DataFrame:
+    """``row_number() over (partition by keys order by ...)`` for FEW, LARGE groups.
+
+    A window partitioned by a class label puts a whole class (possibly a third
+    of the corpus) into one task. Here the rows are range-sorted by
+    ``(keys, order)`` across all partitions, and each row's number is its
+    offset inside its sort partition plus the rows of the same group in earlier
+    partitions. The per-(partition, group) count table has at most
+    ``partitions + groups`` rows (groups are contiguous in a sort), so it is
+    bounded when the number of groups is (a class table), and is broadcast.
+    For many small groups (per document) use an ordinary window instead.
+    """
+    keys = list(keys)
+    tagged = df.orderBy(*[F.col(k) for k in keys], *order).select(
+        "*", F.spark_partition_id().alias("_gr_p"), F.monotonically_increasing_id().alias("_gr_m"))
+    tagged = materialize(tagged)
+    stats = tagged.groupBy("_gr_p", *keys).agg(F.count(F.lit(1)).alias("_gr_n"), F.min("_gr_m").alias("_gr_0"))
+    prior = Window.partitionBy(*keys).orderBy("_gr_p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    offsets = stats.select("_gr_p", *keys, "_gr_0",
+                           F.coalesce(F.sum("_gr_n").over(prior), F.lit(0)).alias("_gr_off"),
+                           F.sum("_gr_n").over(whole).alias("_gr_tot"))
+    # null-safe on the group keys: a null label is its own group, never dropped
+    renamed = offsets.select(F.col("_gr_p").alias("_gr_q"), *[F.col(k).alias(f"_gr_k{i}") for i, k in enumerate(keys)],
+                             "_gr_0", "_gr_off", "_gr_tot")
+    cond = [F.col("_gr_p") == F.col("_gr_q")] + [F.col(k).eqNullSafe(F.col(f"_gr_k{i}")) for i, k in enumerate(keys)]
+    out = tagged.join(F.broadcast(renamed), cond).withColumn(
+        name, F.col("_gr_off") + F.col("_gr_m") - F.col("_gr_0") + F.lit(1))
+    if total:
+        out = out.withColumn(total, F.col("_gr_tot"))
+    return out.drop("_gr_p", "_gr_q", "_gr_m", "_gr_0", "_gr_off", "_gr_tot", *[f"_gr_k{i}" for i in range(len(keys))])
 
 
 def top_k_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "rn") -> DataFrame:
