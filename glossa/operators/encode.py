@@ -30,8 +30,15 @@ def token_ids(tokens: DataFrame, vocab_capped: DataFrame) -> DataFrame:
     return known.select("doc_id", "sent_pos", (F.row_number().over(w) - 1).cast("int").alias("word_pos"), "idx")
 
 
+def _vocab_side(vocab: DataFrame, measured: bool) -> DataFrame:
+    """Broadcast the vocabulary: measured here, or already measured by the
+    caller (a frozen vocabulary reused for every micro-batch)."""
+    return F.broadcast(vocab) if measured else bounded_broadcast(vocab)
+
+
 def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,
-               max_sentences: int, max_words: int, carry: list[str] | None = None) -> DataFrame:
+               max_sentences: int, max_words: int, carry: list[str] | None = None,
+               vocab_measured: bool = False) -> DataFrame:
     """(doc_id, *carry, x): ``x`` is a ``max_sentences x max_words`` int matrix
     of word ids, zero padded. Only the first ``max_sentences`` sentence slots
     are read; in each, the first ``max_words`` *known* words are kept.
@@ -41,7 +48,7 @@ def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,
     """
     carry = carry or []
     m, k = max_sentences, max_words
-    v = bounded_broadcast(vocab_capped.select("word", "idx"))
+    v = _vocab_side(vocab_capped.select("word", "idx"), vocab_measured)
     known = tokens.where(F.col("sent_pos") < m).join(v, "word")
     # rank <= k per sentence: Spark inserts a partial WindowGroupLimit, so at
     # most k rows per sentence per task are shuffled.

@@ -1,0 +1 @@
+"""Structured Streaming jobs: incremental encoding and scoring of landed text."""
