@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from glossa.operators.ranking import global_row_number, top_k_ranked
 
-RANK_ORDER = [F.col("n").desc(), F.col("first_doc"), F.col("first_sent"), F.col("first_word")]
+def rank_order():
+    """Count descending, then first appearance (a total order on words)."""
+    return [F.col("n").desc(), F.col("first_doc"), F.col("first_sent"), F.col("first_word")]
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 def vocab_rank(tokens: DataFrame) -> DataFrame:
     """(word, idx, n): every word ranked from 1 by count descending, ties by
     first appearance. Uses the distributed global rank (no one-task window)."""
-    ranked = global_row_number(word_counts(tokens), RANK_ORDER, "idx")
+    ranked = global_row_number(word_counts(tokens), rank_order(), "idx")
     return ranked.select("word", F.col("idx").cast("int").alias("idx"), "n")
 
 
@@ -37,7 +39,7 @@ def vocab_topk(tokens: DataFrame, max_features: int) -> DataFrame:
     ``1 .. max_features-1`` (a word is usable iff ``idx < max_features``).
     Planned as a distributed TakeOrdered, so only ``max_features-1`` rows
     ever meet in one place."""
-    top = top_k_ranked(word_counts(tokens), RANK_ORDER, max_features - 1, "idx")
+    top = top_k_ranked(word_counts(tokens), rank_order(), max_features - 1, "idx")
     return top.select("word", F.col("idx").cast("int").alias("idx"), "n")
 
 
