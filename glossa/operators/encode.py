@@ -49,24 +49,31 @@ def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,
     carry = carry or []
     m, k = max_sentences, max_words
     v = _vocab_side(vocab_capped.select("word", "idx"), vocab_measured)
-    known = tokens.where(F.col("sent_pos") < m).join(v, "word")
-    # rank <= k per sentence: Spark inserts a partial WindowGroupLimit, so at
-    # most k rows per sentence per task are shuffled.
-    w = Window.partitionBy("doc_id", "sent_pos").orderBy("word_pos")
-    kept = known.withColumn("_kp", F.row_number().over(w)).where(F.col("_kp") <= k)
-    entries = kept.select("doc_id", F.struct((F.col("sent_pos") * k + F.col("_kp") - 1).alias("slot"),
-                                             F.col("idx").alias("id")).alias("_e"),
-                          *[F.lit(None).alias(c) for c in carry])
-    markers = docs.select("doc_id", F.lit(None).cast("struct<slot:int,id:int>").alias("_e"), *carry)
-    # align carry column types (markers carry the real ones)
+    known = (tokens.where(F.col("sent_pos") < m).join(v, "word")
+             .select("doc_id", "sent_pos", "word_pos", "idx", *[F.lit(None).alias(c) for c in carry]))
+    # one marker row per document (sent_pos null) keeps documents without a
+    # known word and carries the document's columns
+    markers = docs.select("doc_id", F.lit(None).cast("int").alias("sent_pos"), F.lit(None).cast("int").alias("word_pos"),
+                          F.lit(None).cast("int").alias("idx"), *carry)
     for c in carry:
-        entries = entries.withColumn(c, F.col(c).cast(markers.schema[c].dataType))
-    grouped = entries.unionByName(markers).groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list("_e")).alias("_mp"),
+        known = known.withColumn(c, F.col(c).cast(markers.schema[c].dataType))
+    # The only shuffle: hash by document. The per-sentence window and both
+    # regroupings below are satisfied by this partitioning (no further
+    # exchange), and every group is bounded by the output shape.
+    rows = known.unionByName(markers).repartition("doc_id")
+    w = Window.partitionBy("doc_id", "sent_pos").orderBy("word_pos")
+    kept = rows.withColumn("_kp", F.row_number().over(w)).where(F.col("sent_pos").isNull() | (F.col("_kp") <= k))
+    per_sent = kept.groupBy("doc_id", "sent_pos").agg(
+        F.array_sort(F.collect_list(F.struct("_kp", "idx"))).alias("_ids"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry])
+    padded = F.slice(F.concat(F.transform("_ids", lambda e: e["idx"]), F.array_repeat(F.lit(0), k)), 1, k)
+    per_sent = per_sent.select("doc_id", *carry, F.when(F.col("sent_pos").isNotNull(),
+                                                        F.struct("sent_pos", padded.alias("row"))).alias("_r"))
+    grouped = per_sent.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list("_r")).alias("_mp"),  # at most m entries
         *[F.first(c, ignorenulls=True).alias(c) for c in carry])
-    x = F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
-                    lambda i: F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                                          lambda j: F.coalesce(F.try_element_at(F.col("_mp"), i * k + j), F.lit(0))))
+    zeros = F.array_repeat(F.lit(0), k)
+    x = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_mp"), i), zeros))
     return grouped.select("doc_id", *carry, x.alias("x"))
 
 
