@@ -18,6 +18,7 @@ from glossa.operators import models as MD
 from glossa.operators import pooling as PL
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
+from glossa.operators.joins import bounded_broadcast
 from glossa.session import scratch_path
 from glossa.sources import stores as ST
 
@@ -89,7 +90,7 @@ def predict_docs(spark, d):
     model, data, classes = fitted_text_model(spark, d)
     preds = MD.predictions(model, data)
     names = classes.select(F.col("code").alias("pred"), F.col("label").alias("predicted_label"))
-    return preds.join(F.broadcast(names), "pred", "left").select(
+    return preds.join(bounded_broadcast(names), "pred", "left").select(
         "doc_id", "pred", "predicted_label", (F.col("pred") + 1).alias("display_label"), "probability")
 
 

@@ -37,13 +37,14 @@ class CleanWords(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, inputCol: str = "text", outputCol: str = "words"):
         super().__init__()
+        self._setDefault(inputCol="text", outputCol="words")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.getOutputCol(), F.flatten(T.clean_words(F.col(self.getInputCol()))))
 
 
-def text_classifier(max_features: int = 50000, max_iter: int = 50, reg: float = 0.01,
+def text_classifier(max_features: int = 50000, max_iter: int = 25, reg: float = 0.01,
                     min_df: float = 1.0) -> Pipeline:
     return Pipeline(stages=[
         CleanWords(inputCol="text", outputCol="words"),
@@ -55,8 +56,25 @@ def text_classifier(max_features: int = 50000, max_iter: int = 50, reg: float =
 
 
 def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on ``(label, text)`` rows (label = class code)."""
-    return text_classifier(**kw).fit(train.where(F.col("label").isNotNull()))
+    """Fit on ``(label, text)`` rows (label = class code).
+
+    Same stages as :func:`text_classifier`, fitted one by one so the clean
+    words are computed once (persisted, spilling to disk) instead of once per
+    downstream estimator; the result is an ordinary ``PipelineModel``."""
+    from pyspark import StorageLevel
+
+    stages = text_classifier(**kw).getStages()
+    clean, cv, idf, lr = stages
+    words = clean.transform(train.where(F.col("label").isNotNull()).select("label", "text")) \
+        .select("label", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cv_model = cv.fit(words)
+        tf = cv_model.transform(words)
+        idf_model = idf.fit(tf)
+        lr_model = lr.fit(idf_model.transform(tf))
+    finally:
+        words.unpersist()
+    return PipelineModel(stages=[clean, cv_model, idf_model, lr_model])
 
 
 def pooled_classifier(max_iter: int = 100, reg: float = 0.001) -> LogisticRegression:

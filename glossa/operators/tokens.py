@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions.stopwords import ENGLISH_STOP_WORDS
+from glossa.operators.joins import bounded_broadcast
 
 
 def sentence_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -41,21 +42,21 @@ def clean_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def stopword_anti_join(tokens: DataFrame, stop_table: DataFrame, word: str = "word") -> DataFrame:
-    """Drop stop words with a broadcast hash anti join. The stop table is a
-    word list (hundreds of rows at most), so broadcasting it is bounded."""
-    return tokens.join(F.broadcast(stop_table.select(F.col(stop_table.columns[0]).alias(word))), word, "left_anti")
+    """Drop stop words with an anti join; the stop table is broadcast after
+    its size is measured (a word list: normally hundreds of rows)."""
+    stops = bounded_broadcast(stop_table.select(F.col(stop_table.columns[0]).alias(word)))
+    return tokens.join(stops, word, "left_anti")
 
 
 def lemmatize(tokens: DataFrame, lemma_table: DataFrame | None) -> DataFrame:
     """Replace each word by its lemma where the caller's table has one.
 
-    The lemma table joins on ``word``; a hint-free left join lets the planner
-    broadcast it when small and fall back to a shuffle join (with AQE skew
-    splitting on hot words) when a full dictionary is supplied.
+    The lemma table is measured and broadcast when small; a dictionary above
+    the ceiling is joined with a shuffle join (AQE splits hot-word skew).
     """
     if lemma_table is None:
         return tokens
-    lem = lemma_table.select("word", F.col("lemma").alias("_lemma"))
+    lem = bounded_broadcast(lemma_table.select("word", F.col("lemma").alias("_lemma")))
     return (tokens.join(lem, "word", "left")
             .withColumn("word", F.coalesce(F.col("_lemma"), F.col("word")))
             .drop("_lemma"))

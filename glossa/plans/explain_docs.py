@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import explain as X
 from glossa.operators import models as MD
 from glossa.operators import tokens as tok
+from glossa.operators.joins import bounded_broadcast
 
 
 def explain_documents(model, docs: DataFrame, classes: DataFrame, n_sentences: int = 3,
@@ -28,6 +29,6 @@ def explain_documents(model, docs: DataFrame, classes: DataFrame, n_sentences: i
              .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_w"))
              .select("doc_id", F.transform("_w", lambda s: s["word"]).alias("top_words")))
     names = classes.select(F.col("code").alias("pred"), F.col("label").alias("predicted_label"))
-    return (preds.join(F.broadcast(names), "pred", "left").join(summary, "doc_id", "left")
+    return (preds.join(bounded_broadcast(names), "pred", "left").join(summary, "doc_id", "left")
             .join(words, "doc_id", "left")
             .select("doc_id", "pred", "predicted_label", "probability", "summary", "top_words"))
