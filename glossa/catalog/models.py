@@ -128,3 +128,13 @@ def explain_docs(spark, d):
 
     model, data, classes = fitted_text_model(spark, d)
     return explain_documents(model, data.where(F.col("split") == SP.TEST), classes)
+
+
+@register("distillation_set")
+def distillation_set(spark, d):
+    from glossa.plans.prepare import prepare_sequence
+
+    model, data, _ = fitted_text_model(spark, d)
+    soft = MD.soft_targets(model, data.where(F.col("split") == SP.TRAIN))
+    prepared = prepare_sequence(C.corpus(spark, d, "lang"), C.MAX_LEN, C.MAX_FEATURES, seed=C.SEED)
+    return MD.attach_soft_targets(prepared.drop("split").join(data.select("doc_id", "split"), "doc_id"), soft)

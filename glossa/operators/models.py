@@ -160,3 +160,10 @@ def sentence_importance(word_imp: DataFrame, sentences: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id")
     shifted = F.col("importance") - F.max("importance").over(w)
     return s.withColumn("weight", F.exp(shifted) / F.sum(F.exp(shifted)).over(w))
+
+
+def attach_soft_targets(prepared: DataFrame, soft: DataFrame) -> DataFrame:
+    """Distillation set: every prepared row, with the teacher's soft targets
+    joined by ``doc_id`` on training rows and a null ``soft_targets`` (not
+    zeros) everywhere else."""
+    return prepared.join(soft.select("doc_id", "soft_targets"), "doc_id", "left")
