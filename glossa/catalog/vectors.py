@@ -11,6 +11,7 @@ from glossa.functions import vectors as VX
 from glossa.operators import encode as E
 from glossa.operators import pooling as PL
 from glossa.operators import vocab as V
+from glossa.session import materialize
 from glossa.sources import tables
 
 SMALL = C.SMALL_FEATURES
@@ -32,6 +33,7 @@ def context_vector(spark, d, vec_id: int) -> list[float]:
 def vocab_vec(spark, d, max_features: int, toks=None):
     toks = toks if toks is not None else C.clean_tokens(spark, d)
     full = V.vocab_rank(toks) if max_features is None else V.vocab_topk(toks, max_features)
+    full = materialize(full)  # reused by the vector table and the id join: fit once
     words = V.word_vectors_from_rank(full, embeddings(spark, d))
     return full, V.vocab_vectors(full, words, dim_of(spark, d))
 
