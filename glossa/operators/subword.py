@@ -57,11 +57,25 @@ def greedy_pieces(word: str, table: dict[str, int], max_chars: int = 100) -> lis
     return out
 
 
+def _ship_module_by_value() -> None:
+    """Serialise this module's functions into the UDF, so Python workers do
+    not need the package on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except ValueError:  # already registered
+        pass
+
+
 def subword_encode(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
     """Token rows with ``piece_ids array<int>``."""
     spark = tokens.sparkSession
     table = {r["piece"]: int(r["id"]) for r in pieces.collect()}  # bounded piece vocabulary
     bc = spark.sparkContext.broadcast(table)
+    _ship_module_by_value()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(words: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Text-heavy tables whose per-row work (regex split, explode) dominates; these
 # get the parallelism floor. Dimension tables are left as scanned.
-_SPREAD = {"documents", "conversations", "pages", "orders", "events", "lineitem"}
+_SPREAD = {"documents", "conversations", "pages"}
 
 
 def path_of(sf_dir: str, name: str) -> str:
