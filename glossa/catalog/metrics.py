@@ -225,3 +225,17 @@ def format_duration(spark, d):
 
     ev = tables.read_table(spark, d, "events", ["event_id", "ts"])
     return ev.select("event_id", fmt(elapsed_seconds("ts", "2024-01-01 00:00:00")).alias("elapsed"))
+
+
+def _ce_logits_sql(x: str, code: str) -> str:
+    return (f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda v: exp(v - list_max({x}))))) "
+            f"- {x}[{code} + 1])")
+
+
+@register("log_loss_double_softmax", sql=f"""WITH {SCORED_CTE}
+SELECT count(*) AS n, round(avg({_ce_logits_sql('probability', 'label')}), 6) AS log_loss FROM scored
+WHERE label IS NOT NULL""")
+def log_loss_double_softmax(spark, d):
+    s = scored(spark, d).where(F.col("label").isNotNull())
+    loss = VX.cross_entropy("probability", "label", mode="double_softmax")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("log_loss"))

@@ -60,8 +60,17 @@ def keep_word(w: Column, stop_words: Iterable[str] | None) -> Column:
     return ~w.isin(list(stop_words))
 
 
-def doc_words(text: Column | str) -> Column:
-    """``array<array<string>>``: words per sentence, before stop-word removal."""
+def doc_words(text: Column | str, mode: str = "contract") -> Column:
+    """``array<array<string>>``: words per sentence, before stop-word removal.
+
+    ``mode='builtin'`` uses Spark's locale-aware ``sentences()`` instead of the
+    contract (JVM break iterators: different sentence and word boundaries,
+    no SQL twin), lower-cased and filtered to letters and digits."""
+    if mode == "builtin":
+        return F.transform(F.sentences(_col(text)),
+                           lambda ws: F.filter(F.transform(ws, lambda w: F.lower(w)), lambda w: w.rlike(ALNUM_WORD)))
+    if mode != "contract":
+        raise ValueError(f"unknown tokeniser mode {mode!r}")
     return F.transform(sentences(text), words_of)
 
 

@@ -44,10 +44,23 @@ def prob_at(p: Column | str, code: Column | str) -> Column:
     return F.try_element_at(_col(p), _col(code) + F.lit(1))
 
 
-def cross_entropy(p: Column | str, code: Column | str, eps: float = EPS) -> Column:
-    """``-ln(clip(p[code]))`` for probabilities ``p``."""
-    pc = prob_at(p, code)
-    return -F.log(F.least(F.greatest(pc, F.lit(eps)), F.lit(1.0 - eps)))
+def cross_entropy(p: Column | str, code: Column | str, eps: float = EPS, mode: str = "probabilities") -> Column:
+    """Per-row cross entropy of class ``code``.
+
+    ``mode='probabilities'``: ``-ln(clip(p[code]))`` for probabilities ``p``.
+    ``mode='logits'``: ``p`` holds raw scores; ``-log_softmax(p)[code]``.
+    ``mode='double_softmax'``: ``p`` holds probabilities that are passed
+    through softmax again before the loss (a loss that expects logits fed
+    with probabilities)."""
+    if mode == "probabilities":
+        pc = prob_at(p, code)
+        return -F.log(F.least(F.greatest(pc, F.lit(eps)), F.lit(1.0 - eps)))
+    if mode in ("logits", "double_softmax"):
+        a = _col(p)
+        mx = F.array_max(a)
+        lse = mx + F.log(F.aggregate(F.transform(a, lambda v: F.exp(v - mx)), F.lit(0.0), lambda acc, v: acc + v))
+        return lse - prob_at(a, code)
+    raise ValueError(f"unknown cross-entropy mode {mode!r}")
 
 
 def kl_divergence(t: Column | str, q: Column | str) -> Column:

@@ -124,3 +124,23 @@ def test_softmax_sums_to_one(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1000.0, 1000.0],)], "x array<double>")
     for r in df.select(VX.softmax("x").alias("p")).collect():
         assert abs(sum(r["p"]) - 1.0) < 1e-12
+
+
+def test_cross_entropy_modes(spark):
+    import math
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], 2)], "x array<double>, c int")
+    row = df.select(VX.cross_entropy(VX.softmax("x"), "c").alias("a"),
+                    VX.cross_entropy("x", "c", mode="logits").alias("b"),
+                    VX.cross_entropy(VX.softmax("x"), "c", mode="double_softmax").alias("d")).first()
+    want = -math.log(math.exp(3) / (math.exp(1) + math.exp(2) + math.exp(3)))
+    assert abs(row["a"] - want) < 1e-12 and abs(row["b"] - want) < 1e-12
+    p = [math.exp(v) / sum(math.exp(u) for u in (1, 2, 3)) for v in (1, 2, 3)]
+    want_d = -math.log(math.exp(p[2]) / sum(math.exp(v) for v in p))
+    assert abs(row["d"] - want_d) < 1e-12
+
+
+def test_builtin_sentence_mode(spark):
+    df = spark.createDataFrame([("Hello world. Second one here!",)], "text string")
+    got = df.select(T.doc_words("text", mode="builtin")).first()[0]
+    assert got == [["hello", "world"], ["second", "one", "here"]]
