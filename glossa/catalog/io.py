@@ -19,8 +19,6 @@ from glossa.session import scratch_path
 from glossa.sources import files as FS
 from glossa.sources import stores as ST
 from glossa.sources import tables
-from glossa.functions import text as T
-from glossa.functions import labels as L
 
 _SPLIT_FILE = {"train": "train", "test": "test", "validation": "dev"}
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from glossa.catalog import common as C
 from glossa.catalog import register
 from glossa.catalog.vectors import tok_vecs
-from glossa.operators import explain as X
 from glossa.operators import labels as OL
 from glossa.operators import metrics as MT
 from glossa.operators import models as MD

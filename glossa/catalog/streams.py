@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from glossa.catalog import common as C
 from glossa.catalog import register
 from glossa.catalog.encode import capped_vocab, matrix_sql
