@@ -24,12 +24,12 @@ def piece_vocabulary(vocab: DataFrame, n_words: int) -> DataFrame:
     piece and as a ``##`` continuation piece. Size is bounded by
     ``n_words`` + twice the alphabet."""
     words = vocab.where(F.col("idx") <= n_words).select(
-        F.col("word").alias("piece"), F.struct(F.lit(0), F.col("idx").cast("long")).alias("o"))
+        F.col("word").alias("piece"), F.struct(F.lit(0).alias("g"), F.col("idx").cast("long").alias("r")).alias("o"))
     chars = (vocab.select(F.explode(F.split("word", "")).alias("c")).where(F.col("c") != "").distinct())
     ranked_chars = chars.select("c", F.dense_rank().over(Window.orderBy("c")).cast("long").alias("r"))
     # order: whole words (by rank), then initial characters, then continuations
-    initial = ranked_chars.select(F.col("c").alias("piece"), F.struct(F.lit(1), "r").alias("o"))
-    cont = ranked_chars.select(F.concat(F.lit(CONT), "c").alias("piece"), F.struct(F.lit(2), "r").alias("o"))
+    initial = ranked_chars.select(F.col("c").alias("piece"), F.struct(F.lit(1).alias("g"), "r").alias("o"))
+    cont = ranked_chars.select(F.concat(F.lit(CONT), "c").alias("piece"), F.struct(F.lit(2).alias("g"), "r").alias("o"))
     pieces = words.unionByName(initial).unionByName(cont)
     # first id wins when a one-character word is also a character piece
     best = pieces.groupBy("piece").agg(F.min("o").alias("o"))
