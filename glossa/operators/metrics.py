@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import vectors as VX
 from glossa.operators.ranking import global_row_number
+from glossa.session import materialize
 
 
 def confusion(scored: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -41,7 +42,9 @@ def classification_report(scored: DataFrame, label: str = "label", pred: str = "
     (value in ``f1``), ``macro avg`` and ``weighted avg`` (by support).
     Undefined ratios are 0; a class never predicted still counts in the macro
     average."""
-    cm = confusion(scored, label, pred)
+    # one pass over the scored rows; everything below runs on <= n_classes^2
+    # checkpointed cells (the four report branches never re-read the data)
+    cm = materialize(confusion(scored, label, pred))
     by_label = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
     by_pred = cm.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
     tp = cm.where(F.col("label") == F.col("pred")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))

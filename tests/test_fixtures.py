@@ -144,3 +144,13 @@ def test_builtin_sentence_mode(spark):
     df = spark.createDataFrame([("Hello world. Second one here!",)], "text string")
     got = df.select(T.doc_words("text", mode="builtin")).first()[0]
     assert got == [["hello", "world"], ["second", "one", "here"]]
+
+
+def test_greedy_subword_pieces():
+    from glossa.operators.subword import UNK, greedy_pieces
+
+    table = {"play": 10, "p": 11, "##ing": 12, "##i": 13, "##n": 14, "##g": 15, "##s": 16}
+    assert greedy_pieces("playing", table) == [10, 12]
+    assert greedy_pieces("plays", table) == [10, 16]
+    assert greedy_pieces("xyz", table) == [UNK]
+    assert greedy_pieces("p" * 101, table) == [UNK]
