@@ -96,14 +96,26 @@ def highlight_spans(weighted_tokens: DataFrame, sent_w: DataFrame, n_sentences:
     tokens inside the ``n_sentences`` chosen sentences; the chosen tokens are
     split in weight terciles and every occurrence of a word takes the best
     level any occurrence of that word reached (lookup by word text).
+
+    Plan: sentence rows (with level and chosen flag) and token rows are unioned
+    and hash-partitioned by ``doc_id`` once; the sentence attributes reach the
+    token rows, the terciles and the per-word best level are all windows over
+    keys that start with ``doc_id``, so no further exchange (no joins).
     """
-    sq = sentence_quartiles(sent_w)
-    ranked = sq.withColumn("_rank", F.row_number().over(_sent_order()))
-    sent_info = ranked.select("doc_id", "sent_pos", F.col("level").alias("sent_level"),
-                              (F.col("_rank") <= n_sentences).alias("_chosen"))
-    toks = weighted_tokens.join(sent_info, ["doc_id", "sent_pos"])
-    chosen = toks.where("_chosen").withColumn("_b", F.ntile(3).over(_word_order()))
-    best = chosen.groupBy("doc_id", "word").agg(F.min("_b").alias("_best"))
-    out = toks.join(best, ["doc_id", "word"], "left").withColumn(
-        "word_level", F.when(F.col("_chosen"), _level(F.col("_best"), WORD_LEVELS)))
+    sq = sentence_quartiles(sent_w).withColumn("_rank", F.row_number().over(_sent_order()))
+    sents = sq.select("doc_id", "sent_pos", F.lit(None).cast("int").alias("word_pos"),
+                      F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("weight"),
+                      F.col("level").alias("_sl"), (F.col("_rank") <= n_sentences).alias("_sc"))
+    toks = weighted_tokens.select("doc_id", "sent_pos", "word_pos", "word", F.col("weight").cast("long"),
+                                  F.lit(None).cast("string").alias("_sl"), F.lit(None).cast("boolean").alias("_sc"))
+    rows = toks.unionByName(sents).repartition("doc_id")
+    in_sent = Window.partitionBy("doc_id", "sent_pos")
+    rows = rows.withColumn("sent_level", F.max("_sl").over(in_sent)) \
+               .withColumn("_chosen", F.coalesce(F.max(F.col("_sc").cast("int")).over(in_sent), F.lit(0)) == 1)
+    tok_rows = rows.where(F.col("word").isNotNull())
+    by_weight = Window.partitionBy("doc_id", "_chosen").orderBy(F.col("weight").desc(), F.col("sent_pos"),
+                                                                F.col("word_pos"))
+    tok_rows = tok_rows.withColumn("_b", F.when(F.col("_chosen"), F.ntile(3).over(by_weight)))
+    best = F.min("_b").over(Window.partitionBy("doc_id", "word"))
+    out = tok_rows.withColumn("word_level", F.when(F.col("_chosen"), _level(best, WORD_LEVELS)))
     return out.select("doc_id", "sent_pos", "word_pos", "word", "sent_level", "word_level")

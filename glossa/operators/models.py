@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions import vectors as VX
+from glossa.operators.joins import bounded_broadcast
 
 
 class CleanWords(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -137,13 +138,15 @@ def word_importance(model: PipelineModel, tokens: DataFrame, preds: DataFrame) -
     The coefficient table is a model parameter bounded by the vocabulary cap;
     it is joined (planner's choice, broadcast when small) on the word."""
     spark = tokens.sparkSession
-    table = spark.createDataFrame(coefficient_table(model),
-                                  "index int, word string, idf double, coefs array<double>")
+    table = bounded_broadcast(spark.createDataFrame(coefficient_table(model),
+                                                    "index int, word string, idf double, coefs array<double>"))
     from pyspark.sql import Window
 
+    # one token shuffle (by document): the (doc_id, word) window and the join
+    # with the document-level predictions both reuse it
     tf = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "word"))
-    scored = (tokens.withColumn("tf", tf).join(table, "word")
-              .join(preds.select("doc_id", "pred"), "doc_id"))
+    scored = (tokens.repartition("doc_id").withColumn("tf", tf)
+              .join(preds.select("doc_id", "pred"), "doc_id").join(table, "word"))
     imp = VX.prob_at("coefs", "pred") * F.col("tf") * F.col("idf")
     return scored.select("doc_id", "sent_pos", "word_pos", "word", imp.alias("importance"))
 
