@@ -76,14 +76,22 @@ def grouped_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     return out.drop("_gr_p", "_gr_q", "_gr_m", "_gr_0", "_gr_off", "_gr_tot", *[f"_gr_k{i}" for i in range(len(keys))])
 
 
+# Largest number of rows the final merge of a TakeOrdered may receive
+# (k rows from every input partition meet in one task).
+MAX_TAKE_ORDERED_ROWS = 5_000_000
+
+
 def top_k_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "rn") -> DataFrame:
     """The first ``k`` rows under ``order`` with their rank.
 
-    ``orderBy().limit(k)`` plans as a distributed TakeOrdered (each task keeps
-    its own top k, the merge sees at most k x tasks rows); the final numbering
-    runs over at most ``k`` rows.
+    ``orderBy().limit(k)`` plans as a TakeOrdered: each task keeps its own top
+    k and one task merges ``k x partitions`` rows. That is used only while the
+    merge stays under :data:`MAX_TAKE_ORDERED_ROWS`; a large ``k`` over many
+    partitions takes the distributed :func:`global_row_number` and a filter.
     """
     if k <= 0:
         return df.limit(0).withColumn(name, F.lit(None).cast("long"))
+    if k * df.rdd.getNumPartitions() > MAX_TAKE_ORDERED_ROWS:
+        return global_row_number(df, order, name).where(F.col(name) <= k)
     top = df.orderBy(*order).limit(k)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
