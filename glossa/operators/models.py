@@ -56,20 +56,49 @@ def text_classifier(max_features: int = 50000, max_iter: int = 25, reg: float =
     ])
 
 
+def dictionary_model(vocab: DataFrame, input_col: str, output_col: str):
+    """A ``CountVectorizerModel`` whose dictionary is ``vocab(word, idx)`` in
+    id order (term index = idx - 1).
+
+    The dictionary is written by Spark as the model's data file (one row,
+    bounded by the vocabulary cap) into a saved model folder and loaded back,
+    so it never passes through Python objects on the driver."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    from glossa.session import scratch_path
+
+    path = scratch_path(vocab.sparkSession, "dictionary")
+    CountVectorizerModel.from_vocabulary(["_"], inputCol=input_col, outputCol=output_col).save(path)
+    data = vocab.agg(F.array_sort(F.collect_list(F.struct("idx", "word"))).alias("_v")) \
+        .select(F.transform("_v", lambda e: e["word"]).alias("vocabulary"))
+    data.coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+    return CountVectorizerModel.load(path)
+
+
 def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on ``(label, text)`` rows (label = class code).
+    """Fit on ``(doc_id, label, text)`` rows (label = class code).
 
     Same stages as :func:`text_classifier`, fitted one by one so the clean
     words are computed once (persisted, spilling to disk) instead of once per
     downstream estimator; the result is an ordinary ``PipelineModel``."""
     from pyspark import StorageLevel
 
+    from glossa.operators import tokens as tok
+    from glossa.operators import vocab as V
+
     stages = text_classifier(**kw).getStages()
     clean, cv, idf, lr = stages
-    words = clean.transform(train.where(F.col("label").isNotNull()).select("label", "text")) \
+    labelled = train.where(F.col("label").isNotNull())
+    # The dictionary: the distributed capped vocabulary (count desc, ties by
+    # first appearance), not CountVectorizer.fit, whose top-k merge runs on
+    # the driver and breaks ties arbitrarily. Collected once: it is the
+    # model's parameter, bounded by vocabSize.
+    cap = cv.getVocabSize()
+    vocab = V.vocab_topk(tok.clean_tokens(labelled.select("doc_id", "text")), cap + 1)
+    words = clean.transform(labelled.select("label", "text")) \
         .select("label", "words").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cv_model = cv.fit(words)
+        cv_model = dictionary_model(vocab, cv.getInputCol(), cv.getOutputCol())
         tf = cv_model.transform(words)
         idf_model = idf.fit(tf)
         lr_model = lr.fit(idf_model.transform(tf))
