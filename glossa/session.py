@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # target size of coalesced / split shuffle partitions
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
 }
 
 
@@ -38,6 +40,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 16,
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = 1 << 30,
+                           expansion: float = 3.0, cap: int = 200_000) -> int:
+    """Initial shuffle partition count for a job reading ``input_bytes``.
+
+    Token tables are about ``expansion`` times the text; partitions are sized
+    at ``target_bytes`` of that volume (sorts and aggregations spill
+    gracefully beyond executor memory), never fewer than twice the cores, and
+    at most ``cap`` (map-status and scheduling costs grow with maps x
+    reducers). AQE then coalesces small partitions to
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and splits skewed
+    ones. Example: 100 TB of text on 4000 cores -> 200 000 partitions."""
+    by_size = int(input_bytes * expansion // target_bytes) + 1
+    return min(cap, max(2 * cores, by_size))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of this session.
 
