@@ -38,10 +38,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
 
-    from glossa.session import build_session
+    from glossa.session import build_session, shuffle_partitions_for
 
     scratch = tempfile.mkdtemp(prefix="glossa-bench-")
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    text_bytes = os.path.getsize(os.path.join(sf_dir, "documents.parquet"))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=shuffle_partitions_for(text_bytes, cpus),
                           extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
                                  "spark.local.dir": os.path.join(scratch, "local")})
     from glossa.catalog import queries
