@@ -83,7 +83,6 @@ def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
     downstream estimator; the result is an ordinary ``PipelineModel``."""
     from pyspark import StorageLevel
 
-    from glossa.operators import tokens as tok
     from glossa.operators import vocab as V
 
     stages = text_classifier(**kw).getStages()
@@ -94,9 +93,11 @@ def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
     # the driver and breaks ties arbitrarily. Collected once: it is the
     # model's parameter, bounded by vocabSize.
     cap = cv.getVocabSize()
-    vocab = V.vocab_topk(tok.clean_tokens(labelled.select("doc_id", "text")), cap + 1)
-    words = clean.transform(labelled.select("label", "text")) \
-        .select("label", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    words = clean.transform(labelled.select("doc_id", "label", "text")) \
+        .select("doc_id", "label", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    # flat word position inside a document orders like (sentence, word)
+    toks = words.select("doc_id", F.lit(0).alias("sent_pos"), F.posexplode("words").alias("word_pos", "word"))
+    vocab = V.vocab_topk(toks, cap + 1)
     try:
         cv_model = dictionary_model(vocab, cv.getInputCol(), cv.getOutputCol())
         tf = cv_model.transform(words)

@@ -81,17 +81,23 @@ def grouped_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
 MAX_TAKE_ORDERED_ROWS = 5_000_000
 
 
-def top_k_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "rn") -> DataFrame:
+def top_k_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "rn",
+                 partitions: int | None = None) -> DataFrame:
     """The first ``k`` rows under ``order`` with their rank.
 
     ``orderBy().limit(k)`` plans as a TakeOrdered: each task keeps its own top
     k and one task merges ``k x partitions`` rows. That is used only while the
     merge stays under :data:`MAX_TAKE_ORDERED_ROWS`; a large ``k`` over many
     partitions takes the distributed :func:`global_row_number` and a filter.
+    ``partitions`` is the input's partition count; by default the session's
+    shuffle partition count (the input is an aggregate's output). It is never
+    read from the plan, which under adaptive execution would run the shuffle.
     """
     if k <= 0:
         return df.limit(0).withColumn(name, F.lit(None).cast("long"))
-    if k * df.rdd.getNumPartitions() > MAX_TAKE_ORDERED_ROWS:
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if k * partitions > MAX_TAKE_ORDERED_ROWS:
         return global_row_number(df, order, name).where(F.col(name) <= k)
     top = df.orderBy(*order).limit(k)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

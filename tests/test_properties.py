@@ -123,8 +123,8 @@ def test_report_support_sums_to_rows(spark):
 def test_top_k_large_path_equals_small_path(spark, monkeypatch):
     df = spark.range(0, 3000).select((F.col("id") % 97).alias("n"), "id").repartition(6)
     order = [F.col("n").desc(), F.col("id")]
-    small = R.top_k_ranked(df, order, 500, "r")
+    small = R.top_k_ranked(df, order, 500, "r", partitions=6)
     monkeypatch.setattr(R, "MAX_TAKE_ORDERED_ROWS", 10)
-    large = R.top_k_ranked(df, order, 500, "r")
+    large = R.top_k_ranked(df, order, 500, "r", partitions=6)
     assert small.count() == large.count() == 500
     assert small.exceptAll(large.select(*small.columns)).count() == 0
