@@ -91,7 +91,7 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     ``max_by`` per word, a shuffle over the vector table only."""
     lines = spark.read.text(path).select(
         F.split(F.btrim(F.col("value")), r"[ \t]+").alias("t"),
-        F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("m")).alias("_at"))
+        F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m")).alias("_at"))
     parsed = lines.where(F.size("t") > 1).select(
         F.col("t")[0].alias("word"),
         F.transform(F.slice("t", 2, F.size("t")), lambda x: x.cast("float")).alias("vec"), "_at")

@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Text-heavy tables whose per-row work (regex split, explode) dominates; these
-# get the parallelism floor. Dimension tables are left as scanned.
-_SPREAD = {"documents", "conversations", "pages"}
+# Text-heavy tables whose per-row work (regex split, explode) dominates, with
+# their unique key; these get the parallelism floor. Others are left as scanned.
+_SPREAD = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 
 def path_of(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def with_parallelism_floor(df: DataFrame) -> DataFrame:
+def with_parallelism_floor(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan with fewer partitions than the default parallelism.
+    Hashing on the unique key spreads evenly and is deterministic without the
+    local sort a round-robin repartition needs. (``df.rdd`` is taken on the
+    bare scan only, so no job runs.)"""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     if n < target:
-        return df.repartition(target)
+        return df.repartition(target, key) if key else df.repartition(target)
     return df
 
 
@@ -41,7 +45,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     if columns:
         df = df.select(*columns)
     if name in _SPREAD:
-        df = with_parallelism_floor(df)
+        key = _SPREAD[name]
+        df = with_parallelism_floor(df, key if key in df.columns else None)
     return df
 
 
