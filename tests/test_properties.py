@@ -128,3 +128,26 @@ def test_top_k_large_path_equals_small_path(spark, monkeypatch):
     large = R.top_k_ranked(df, order, 500, "r", partitions=6)
     assert small.count() == large.count() == 500
     assert small.exceptAll(large.select(*small.columns)).count() == 0
+
+
+def test_broadcast_ceiling_falls_back_to_shuffle_join(spark):
+    from glossa.operators import joins as J
+    from glossa.session import shuffle_partitions_for
+
+    docs = tables.documents(spark, SF001)
+    toks = tok.clean_tokens(docs)
+    vocab = V.vocab_topk(toks, 300)
+    small = E.token_ids(toks, vocab)
+    spark.conf.set("glossa.broadcast.maxBytes", "10")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ResolvedHint" not in J.bounded_broadcast(vocab)._jdf.queryExecution().analyzed().toString()
+        big = E.token_ids(toks, vocab)
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
+    finally:
+        spark.conf.unset("glossa.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffle_partitions_for(100 * 2**40, 4000) == 200_000
+    assert shuffle_partitions_for(1 << 20, 8) == 16
