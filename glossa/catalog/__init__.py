@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-# The query ``entry()`` runs (falls back to the vocabulary rank until the
-# hierarchical preparation is registered).
+# The query ``entry()`` runs: the hierarchical preparation (clean ->
+# vocabulary -> stratified split -> document id matrices).
 FLAGSHIP = "prepare_hierarchical"
 
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -49,8 +49,7 @@ def queries() -> dict[str, QueryFn]:
 
 
 def flagship() -> QueryFn:
-    qs = queries()
-    return qs.get(FLAGSHIP) or qs["vocab_rank"]
+    return queries()[FLAGSHIP]
 
 
 def oracle_sql() -> dict[str, str]:

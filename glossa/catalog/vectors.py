@@ -11,6 +11,7 @@ from glossa.functions import vectors as VX
 from glossa.operators import encode as E
 from glossa.operators import pooling as PL
 from glossa.operators import vocab as V
+from glossa.operators.joins import bounded_broadcast
 from glossa.session import materialize
 from glossa.sources import tables
 
@@ -67,7 +68,8 @@ tv AS (SELECT t.doc_id, t.sent_pos, t.word_pos, t.idx, vv.vec FROM tid t JOIN vv
 def tok_vecs(spark, d):
     toks = C.clean_tokens(spark, d)
     vcap, vv = vocab_vec(spark, d, SMALL, toks)
-    return PL.token_vectors(E.token_ids(toks, vcap), vv)
+    ids = E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True)
+    return PL.token_vectors(ids, vv)
 
 
 @register("token_vectors", sql=f"WITH {TV_SQL}\nSELECT doc_id, sent_pos, word_pos, idx, vec FROM tv")

@@ -21,10 +21,10 @@ PAD, UNK, BEGIN, END = 0, 1, 2, 3
 RESERVED = 4
 
 
-def token_ids(tokens: DataFrame, vocab_capped: DataFrame) -> DataFrame:
+def token_ids(tokens: DataFrame, vocab_capped: DataFrame, vocab_measured: bool = False) -> DataFrame:
     """(doc_id, sent_pos, word_pos, idx): known words only; unknown words are
     dropped and later words move left (positions re-counted per sentence)."""
-    v = bounded_broadcast(vocab_capped.select("word", "idx"))
+    v = _vocab_side(vocab_capped.select("word", "idx"), vocab_measured)
     known = tokens.join(v, "word")
     w = Window.partitionBy("doc_id", "sent_pos").orderBy("word_pos")
     return known.select("doc_id", "sent_pos", (F.row_number().over(w) - 1).cast("int").alias("word_pos"), "idx")
