@@ -63,10 +63,11 @@ def classification_report(scored: DataFrame, label: str = "label", pred: str = "
                      F.sum(F.col("f1") * F.col("support")).alias("wf"))
     from pyspark.sql.types import DoubleType, FloatType
 
-    cls = F.col("cls")
+    cls = F.col("cls").cast("string")
     if isinstance(per.schema["cls"].dataType, (DoubleType, FloatType)):  # model output: 2.0 -> "2"
-        cls = F.when(cls == F.floor(cls), cls.cast("long")).otherwise(cls)
-    rows = per.select(cls.cast("string").alias("row"), "precision", "recall", "f1", "support")
+        c = F.col("cls")
+        cls = F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    rows = per.select(cls.alias("row"), "precision", "recall", "f1", "support")
     acc = totals.select(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
                         F.lit(None).cast("double").alias("recall"),
                         _safe_ratio(F.col("correct"), F.col("total")).alias("f1"),
