@@ -96,7 +96,7 @@ def default_rules() -> list[Rule]:
              (share("n_symbols", "word_chars") < 0.005) & long_enough),
         Rule("dup_lines", (share("n_dup_lines", "n_lines") > 0.4) & (F.col("n_lines") >= 4),
              (share("n_dup_lines", "n_lines") < 0.2) & (F.col("n_lines") >= 4)),
-        Rule("repeats", share("n_repeat_words", "n_words") > 0.5, (share("n_repeat_words", "n_words") < 0.2) & long_enough),
+        Rule("repeats", share("n_repeat_words", "n_words") > 0.5, (share("n_repeat_words", "n_words") <= 0.5) & long_enough),
         Rule("adjacent", (share("n_adjacent_repeats", "n_words") > 0.3) & long_enough,
              (share("n_adjacent_repeats", "n_words") < 0.05) & long_enough),
         Rule("top_word", (share("n_top_word", "n_words") > 0.3) & long_enough,
