@@ -46,9 +46,11 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import landed, null_safe, slices, text_bytes
 from glossa.llm.components import connected_components
+from glossa.llm.url_filter import build_level, passes
 
 BAND = 1.5
 SKETCH_WORDS = 8
+BLOOM_BITS = 1 << 20
 MEMO_ENTRIES = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _HALF = np.uint64(32)
@@ -229,12 +231,13 @@ def components(df: DataFrame, key: str, text: str, size: int = 3, percent: int =
     leaders = weighed.groupBy("token").agg(F.max("w").alias("leader"))
     groups = weighed.join(leaders, "token").groupBy("cls").agg(F.max("leader").alias("leader")).select(
         "cls", F.col("leader.cls").alias("leader"))
-    texts = landed(groups.join(named.groupBy("cls").agg(
-        F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _SKETCH]), "cls"), "texts")
+    one = named.join(groups, "cls").groupBy("cls", "leader").agg(
+        F.min(F.struct("key", "rk")).alias("row"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in _SKETCH])
+    texts = landed(one.select("cls", "leader", "row.key", "row.rk", "n", *_SKETCH), "texts")
 
     # the bound against the own group's leader, then between the texts of a token in open groups
     plain = texts.select("cls", "n", *_SKETCH)
-    own = _of(texts.where("cls <> leader").drop("key"), "x_").join(_of(plain, "y_"), F.col("x_leader") == F.col("y_cls"))
+    own = _of(texts.where("cls <> leader").drop("key", "rk"), "x_").join(_of(plain, "y_"), F.col("x_leader") == F.col("y_cls"))
     own = landed(own.where(_may_link(percent)).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")), "own-group")
     sets = _shingle_sets(df, key, text, texts, own, size)
     own = landed(_verified(own, sets, percent), "own-links")
@@ -262,11 +265,15 @@ def components(df: DataFrame, key: str, text: str, size: int = 3, percent: int =
 
 
 def _shingle_sets(df: DataFrame, key: str, text: str, texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``(cls, shingles)`` of the texts in ``pairs``, read from one row of each."""
+    """``(cls, shingles)`` of the texts in ``pairs``, read from one row of each.
+    A Bloom filter of fixed size saves shuffling the other rows; the join decides."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = texts.join(wanted, "cls", "left_semi").select(F.col("key").alias("_key")).distinct()
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(keys, "_key", "left_semi")
-    return landed(shingle_rows(rows, size).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingles")
+    keys = landed(texts.join(wanted, "cls", "left_semi").select("key", "rk").distinct(), "text-keys")
+    ident = F.xxhash64("key", "rk")
+    bloom = build_level(keys.select(ident.alias("key")), 0, 0, 0.5, n_bits=BLOOM_BITS)
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("rk"), F.col(text).alias("text"))
+    rows = rows.where(passes(ident, 0, bloom)).join(keys, ["key", "rk"], "left_semi")
+    return landed(shingle_rows(rows.groupBy("key", "rk").agg(F.first("text").alias("text")), size), "shingles")
 
 
 def keep_one(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
