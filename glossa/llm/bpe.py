@@ -33,7 +33,7 @@ from glossa.llm.common import slices, text_bytes
 
 MAX_VOCAB_BYTES = 64 << 20
 # Pre-tokens a worker remembers with their ids; beyond it the memory restarts.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 MEMO_LONGEST = 48
 _STEP, _SPREAD, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -99,7 +99,8 @@ def resolver(codec: dict) -> Callable[[bytes], int | None]:
 
 
 def merge_bytes(piece: bytes, resolve: Callable[[bytes], int | None]) -> list[int]:
-    """Ids of a pre-token that is not in the vocabulary.
+    """Ids of a pre-token that is not in the vocabulary; ``resolve`` gives the
+    rank of two neighbours joined.
 
     ``end[i]`` is where the part starting at ``i`` ends (0: merged away), which
     is also where its right neighbour starts; ``left[i]`` starts its left one."""
@@ -134,7 +135,7 @@ def merge_bytes(piece: bytes, resolve: Callable[[bytes], int | None]) -> list[in
 
 
 def codec_of(ranks: dict[bytes, int]) -> dict:
-    """What tasks need, as plain data: the perfect hash and the id -> bytes table."""
+    """What tasks need, as plain data: the perfect hash, and the ranks of merges."""
     keys = list(ranks)
     missing = [b for b in range(256) if bytes([b]) not in ranks]
     if missing:
@@ -142,20 +143,20 @@ def codec_of(ranks: dict[bytes, int]) -> dict:
     displacement, slot_key = build_perfect_hash(keys)
     by_slot = [keys[i] for i in slot_key]
     return {"displacement": displacement.tolist(), "slot_bytes": by_slot, "slot_id": [ranks[k] for k in by_slot],
-            "bytes_of": {i: k for k, i in ranks.items()}}
+            "ranks": ranks}
 
 
 class PieceMemo(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, resolve):
+    def __init__(self, resolve, ranks):
         super().__init__()
-        self.resolve = resolve
+        self.resolve, self.rank = resolve, ranks.get
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.resolve(raw)
-        ids = [whole] if whole is not None else merge_bytes(raw, self.resolve)
+        ids = [whole] if whole is not None else merge_bytes(raw, self.rank)
         packed = np.array(ids, "<u4").tobytes()
         if len(piece) <= MEMO_LONGEST:
             if len(self) >= MEMO_ENTRIES:
@@ -175,7 +176,7 @@ def encode(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str) ->
         known = codec.value
         memo = known.get("memo")
         if memo is None:  # kept with the broadcast value: later tasks of this worker go on with it
-            memo = known["memo"] = PieceMemo(resolver(known))
+            memo = known["memo"] = PieceMemo(resolver(known), known["ranks"])
         find, get = regex.compile(pattern).findall, memo.__getitem__
         for batch in batches:
             keys, texts = batch.column(0), text_bytes(batch.column(1))
