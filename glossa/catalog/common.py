@@ -15,7 +15,6 @@ MAX_SENTENCES = 20
 MAX_WORDS = 40
 SEED = 42
 YEAR = 1995
-SMALL_FEATURES = 500  # capped vocabulary used where a vector table is attached
 MAX_LEN = 128
 
 

@@ -38,12 +38,18 @@ def top_sentences(spark, d):
     return X.top_sentences(sw, N_SENT).select("doc_id", "sent_pos", "weight", "rank")
 
 
-@register("top_words", sql=f"""WITH {BASE_SQL},
-wr AS (SELECT *, row_number() OVER ({WORD_ORDER}) AS rank FROM tw)
+# the tokens of the chosen sentences: words are ranked within the summary
+CHOSEN_SQL = f"""{BASE_SQL},
+ct AS (SELECT tw.* FROM tw JOIN sr ON sr.doc_id = tw.doc_id AND sr.sent_pos = tw.sent_pos WHERE sr.rank <= {N_SENT})"""
+
+
+@register("top_words", sql=f"""WITH {CHOSEN_SQL},
+wr AS (SELECT *, row_number() OVER ({WORD_ORDER}) AS rank FROM ct)
 SELECT doc_id, sent_pos, word_pos, word, weight, CAST(rank AS INTEGER) AS rank FROM wr WHERE rank <= {N_WORDS}""")
 def top_words(spark, d):
-    _, tw, _ = parts(spark, d)
-    return X.top_words(tw, N_WORDS).select("doc_id", "sent_pos", "word_pos", "word", "weight", "rank")
+    _, tw, sw = parts(spark, d)
+    chosen = X.in_sentences(tw, X.top_sentences(sw, N_SENT))
+    return X.top_words(chosen, N_WORDS).select("doc_id", "sent_pos", "word_pos", "word", "weight", "rank")
 
 
 _W_LEVEL = "CASE ntile(3) OVER ({o}) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
@@ -51,11 +57,12 @@ _S_LEVEL = ("CASE ntile(4) OVER (PARTITION BY doc_id ORDER BY weight DESC, sent_
             "WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'none' END")
 
 
-@register("word_terciles", sql=f"""WITH {BASE_SQL}
-SELECT doc_id, sent_pos, word_pos, {_W_LEVEL.format(o=WORD_ORDER)} AS level FROM tw""")
+@register("word_terciles", sql=f"""WITH {CHOSEN_SQL}
+SELECT doc_id, sent_pos, word_pos, {_W_LEVEL.format(o=WORD_ORDER)} AS level FROM ct""")
 def word_terciles(spark, d):
-    _, tw, _ = parts(spark, d)
-    return X.word_terciles(tw).select("doc_id", "sent_pos", "word_pos", "level")
+    _, tw, sw = parts(spark, d)
+    chosen = X.in_sentences(tw, X.top_sentences(sw, N_SENT))
+    return X.word_terciles(chosen).select("doc_id", "sent_pos", "word_pos", "level")
 
 
 @register("sentence_quartiles", sql=f"""WITH {BASE_SQL}

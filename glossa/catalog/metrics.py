@@ -194,10 +194,10 @@ ms AS (SELECT tag, CAST(dense_rank() OVER (PARTITION BY tag ORDER BY hr) AS BIGI
 w AS (SELECT *, max(value) OVER (PARTITION BY tag ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb
       FROM ms),
 w2 AS (SELECT *, max(CASE WHEN pb IS NULL OR value > pb THEN epoch END)
-                 OVER (PARTITION BY tag ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM w)
-SELECT tag, arg_min(epoch, (-value, epoch)) AS best_epoch, max(value) AS best_value,
-       min(CASE WHEN epoch - li >= 4 THEN epoch END) AS stop_epoch
-FROM w2 GROUP BY tag""")
+                 OVER (PARTITION BY tag ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM w),
+w3 AS (SELECT *, min(CASE WHEN epoch - li >= 4 THEN epoch END) OVER (PARTITION BY tag) AS stop FROM w2)
+SELECT tag, arg_min(epoch, (-value, epoch)) AS best_epoch, max(value) AS best_value, max(stop) AS stop_epoch
+FROM w3 WHERE stop IS NULL OR epoch <= stop GROUP BY tag""")
 def early_stop_epoch(spark, d):
     m = stores.hourly_metrics(tables.read_table(spark, d, "events"))
     return MT.early_stop(m, patience=4)

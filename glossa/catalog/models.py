@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.catalog import common as C
 from glossa.catalog import register
-from glossa.catalog.vectors import tok_vecs
+from glossa.catalog.vectors import dim_of, tok_vecs
 from glossa.operators import labels as OL
 from glossa.operators import metrics as MT
 from glossa.operators import models as MD
@@ -49,7 +49,7 @@ def train_text_classifier(spark, d):
 
 def pooled_data(spark, d):
     data, classes = split_corpus(spark, d)
-    pooled = PL.max_pool(tok_vecs(spark, d))
+    pooled = PL.keep_documents(PL.max_pool(tok_vecs(spark, d)), C.docs(spark, d), dim_of(spark, d), "pooled")
     feats = MD.pooled_features(pooled).join(data.select("doc_id", "label", "split"), "doc_id")
     return feats, classes
 

@@ -43,6 +43,6 @@ def stream_score(spark, d):
 
 @register("subword_encode")
 def subword_encode(spark, d):
-    toks = C.clean_tokens(spark, d)
+    toks = C.raw_tokens(spark, d)  # all words, stop words included
     pieces = SW.piece_vocabulary(V.vocab_rank(toks), N_SUBWORD_WORDS)
     return SW.subword_encode(toks, pieces).select("doc_id", "sent_pos", "word_pos", "word", "piece_ids")

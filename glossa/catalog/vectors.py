@@ -15,8 +15,6 @@ from glossa.operators.joins import bounded_broadcast
 from glossa.session import materialize
 from glossa.sources import tables
 
-SMALL = C.SMALL_FEATURES
-
 
 def embeddings(spark, d):
     return tables.read_table(spark, d, "embeddings", ["vec_id", "embedding"])
@@ -57,7 +55,7 @@ def vocab_vectors(spark, d):
     return vocab_vec(spark, d, C.MAX_FEATURES)[1]
 
 
-TV_SQL = f"""{_vv_sql(SMALL)},
+TV_SQL = f"""{_vv_sql(C.MAX_FEATURES)},
 tid AS (SELECT tk.doc_id, tk.sent_pos,
                CAST(row_number() OVER (PARTITION BY tk.doc_id, tk.sent_pos ORDER BY tk.word_pos) - 1 AS INTEGER) AS word_pos,
                v.idx
@@ -67,7 +65,7 @@ tv AS (SELECT t.doc_id, t.sent_pos, t.word_pos, t.idx, vv.vec FROM tid t JOIN vv
 
 def tok_vecs(spark, d):
     toks = C.clean_tokens(spark, d)
-    vcap, vv = vocab_vec(spark, d, SMALL, toks)
+    vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
     ids = E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True)
     return PL.token_vectors(ids, vv)
 
@@ -79,10 +77,12 @@ def token_vectors(spark, d):
 
 @register("doc_max_pool", sql=f"""WITH {TV_SQL},
 dims AS (SELECT doc_id, unnest(range(len(vec))) AS i, unnest(vec) AS v FROM tv),
-mx AS (SELECT doc_id, i, max(v) AS v FROM dims GROUP BY doc_id, i)
-SELECT doc_id, list(v ORDER BY i) AS pooled FROM mx GROUP BY doc_id""")
+mx AS (SELECT doc_id, i, max(v) AS v FROM dims GROUP BY doc_id, i),
+mp AS (SELECT doc_id, list(v ORDER BY i) AS pooled FROM mx GROUP BY doc_id)
+SELECT d.doc_id, coalesce(mp.pooled, {_zero_sql('(SELECT d FROM dim)')}) AS pooled
+FROM documents d LEFT JOIN mp ON mp.doc_id = d.doc_id""")
 def doc_max_pool(spark, d):
-    return PL.max_pool(tok_vecs(spark, d))
+    return PL.keep_documents(PL.max_pool(tok_vecs(spark, d)), C.docs(spark, d), dim_of(spark, d), "pooled")
 
 
 def _u_sql(vec_id: int) -> str:
@@ -124,8 +124,11 @@ sv AS (SELECT doc_id, sent_pos, list(v ORDER BY i) AS svec FROM sd GROUP BY doc_
 ss AS (SELECT *, {_score_sql('svec', _u_sql(1))} AS score FROM sv),
 sw AS (SELECT *, exp(score) / (sum(exp(score)) OVER (PARTITION BY doc_id) + 1e-7) AS w FROM ss),
 dd AS (SELECT doc_id, w, unnest(range(len(svec))) AS i, unnest(svec) AS v FROM sw),
-dv AS (SELECT doc_id, i, sum(w * v) AS v FROM dd GROUP BY doc_id, i)
-SELECT doc_id, list(round(v, 6) ORDER BY i) AS doc_vec FROM dv GROUP BY doc_id""")
+dv AS (SELECT doc_id, i, sum(w * v) AS v FROM dd GROUP BY doc_id, i),
+dp AS (SELECT doc_id, list(round(v, 6) ORDER BY i) AS doc_vec FROM dv GROUP BY doc_id)
+SELECT d.doc_id, coalesce(dp.doc_vec, list_transform(range((SELECT d FROM dim)), lambda i: CAST(0 AS DOUBLE))) AS doc_vec
+FROM documents d LEFT JOIN dp ON dp.doc_id = d.doc_id""")
 def attention_pool(spark, d):
     out = PL.attention_pool(tok_vecs(spark, d), context_vector(spark, d, 0), context_vector(spark, d, 1))
-    return out.select("doc_id", VX.round_array("doc_vec").alias("doc_vec"))
+    out = out.select("doc_id", VX.round_array("doc_vec").alias("doc_vec"))
+    return PL.keep_documents(out, C.docs(spark, d), dim_of(spark, d), "doc_vec", "double")

@@ -31,9 +31,10 @@ def token_ids(tokens: DataFrame, vocab_capped: DataFrame, vocab_measured: bool =
 
 
 def _vocab_side(vocab: DataFrame, measured: bool) -> DataFrame:
-    """Broadcast the vocabulary: measured here, or already measured by the
-    caller (a frozen vocabulary reused for every micro-batch)."""
-    return F.broadcast(vocab) if measured else bounded_broadcast(vocab)
+    """The vocabulary's join side: measured here, or as the caller's
+    measurement left it (a frozen vocabulary reused for every micro-batch): a
+    broadcast that was refused is not asked for again."""
+    return vocab if measured else bounded_broadcast(vocab)
 
 
 def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,

@@ -59,6 +59,12 @@ def top_words(weighted_tokens: DataFrame, n: int = 5) -> DataFrame:
     return r.where(F.col("rank") <= n)
 
 
+def in_sentences(weighted_tokens: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The token rows inside the chosen sentences: words are ranked within a
+    summary, not within the whole document."""
+    return weighted_tokens.join(chosen.select("doc_id", "sent_pos"), ["doc_id", "sent_pos"], "left_semi")
+
+
 def _level(bucket, levels):
     expr = None
     for i, name in enumerate(levels, start=1):

@@ -109,7 +109,8 @@ def early_stop(metrics: DataFrame, patience: int = 4, key: str = "tag", step: st
                value: str = "value") -> DataFrame:
     """(tag, best_epoch, best_value, stop_epoch) per series: stop at the first
     epoch whose value has not improved on the best so far for ``patience``
-    epochs (null: never stopped); best = first epoch with the maximum value.
+    epochs (null: never stopped); best = first epoch with the maximum value up
+    to the stop. What a series does after its stop is not seen.
 
     Windows are partitioned by series; one training series is a few hundred
     epochs, so each window partition is small."""
@@ -119,7 +120,9 @@ def early_stop(metrics: DataFrame, patience: int = 4, key: str = "tag", step: st
     m = m.withColumn("_improved", F.col("_prev_best").isNull() | (F.col(value) > F.col("_prev_best")))
     m = m.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col(step))).over(w_cum))
     m = m.withColumn("_since", F.col(step) - F.col("_last_imp"))
+    stop = F.min(F.when(F.col("_since") >= patience, F.col(step))).over(Window.partitionBy(key))
+    m = m.withColumn("stop_epoch", stop).where(F.col("stop_epoch").isNull() | (F.col(step) <= F.col("stop_epoch")))
     return m.groupBy(key).agg(
         F.min_by(step, F.struct(-F.col(value), F.col(step))).alias("best_epoch"),
         F.max(value).alias("best_value"),
-        F.min(F.when(F.col("_since") >= patience, F.col(step))).alias("stop_epoch"))
+        F.max("stop_epoch").alias("stop_epoch"))

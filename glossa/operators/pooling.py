@@ -34,6 +34,13 @@ def max_pool(vectors: DataFrame, key: str | Sequence[str] = "doc_id", vec: str =
     return agg.select(*keys, vector_to_array("_mx", dtype).alias("pooled"))
 
 
+def keep_documents(pooled: DataFrame, docs: DataFrame, dim: int, name: str, dtype: str = "float") -> DataFrame:
+    """(doc_id, name) for every row of ``docs``; a document without a known
+    word has the zero vector."""
+    zero = F.array_repeat(F.lit(0.0).cast(dtype), dim)
+    return docs.select("doc_id").join(pooled, "doc_id", "left").select("doc_id", F.coalesce(name, zero).alias(name))
+
+
 def weighted_sum(vectors: DataFrame, keys: Sequence[str], vec: str, weight: str, name: str) -> DataFrame:
     """(keys..., name): ``sum(weight * vec)`` per group (array<double>)."""
     s = Summarizer.metrics("sum").summary(array_to_vector(F.col(vec)), F.col(weight))

@@ -36,15 +36,14 @@ def piece_vocabulary(vocab: DataFrame, n_words: int) -> DataFrame:
     return best.select("piece", (F.row_number().over(Window.orderBy("o")) + 3).cast("int").alias("id"))
 
 
-def greedy_pieces(word: str, table: dict[str, int], max_chars: int = 100) -> list[int]:
+def greedy_pieces(word: str, table: dict[str, int], longest: int | None = None) -> list[int]:
     """Greedy longest-prefix match; a word with an unmatched remainder is a
-    single UNK, as is a word longer than ``max_chars`` (the usual word-piece
-    rule for junk strings)."""
-    if len(word) > max_chars:
-        return [UNK]
+    single UNK. No word is too long: a match is tried from the ``longest``
+    piece down, so the work is linear in the word."""
+    longest = longest or max(map(len, table), default=0)
     out, start, n = [], 0, len(word)
     while start < n:
-        end, found = n, None
+        end, found = min(n, start + longest), None
         while end > start:
             piece = word[start:end] if start == 0 else CONT + word[start:end]
             if piece in table:
@@ -81,7 +80,8 @@ def subword_encode(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(words: pd.Series) -> pd.Series:
         t = bc.value
-        return words.map(lambda w: greedy_pieces(w, t))
+        longest = max(map(len, t), default=0)
+        return words.map(lambda w: greedy_pieces(w, t, longest))
 
     distinct = tokens.select("word").distinct()
     coded = distinct.select("word", encode("word").alias("piece_ids"))

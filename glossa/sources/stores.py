@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +16,43 @@ from pyspark.sql import functions as F
 
 
 def fingerprint(df: DataFrame, **params) -> str:
-    """Identity of a fit: the input files (paths as listed by the scan) plus
-    the fit parameters. Changed or added input files give a new id, so a
-    stored vocabulary is never silently reused for different data."""
-    payload = json.dumps({"files": sorted(df.inputFiles()), "params": params}, sort_keys=True, default=str)
+    """Identity of a fit: the content of its input plus the fit parameters.
+    The content enters as the number of rows and two order-free sums of row
+    hashes, one aggregation; changed, added or overwritten rows give a new id,
+    so a stored vocabulary is never silently reused for different data."""
+    rows = df.select(F.xxhash64(*df.columns).alias("h"))
+    seen = rows.agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    payload = json.dumps({"rows": [str(x) for x in seen], "columns": df.dtypes, "params": params}, sort_keys=True, default=str)
     return hashlib.md5(payload.encode()).hexdigest()[:16]
 
 
-def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def vocab_store(spark: SparkSession, root: str, dataset: str, fit_id: str, fit) -> tuple[DataFrame, bool]:
     """Reuse the vocabulary stored for ``(dataset, fit_id)`` or fit (``fit()``
     returns the DataFrame) and store it. Returns ``(vocab, reused)``."""
     path = f"{root.rstrip('/')}/vocab/dataset={dataset}/fit_id={fit_id}"
-    found = _try_read(spark, path)
-    if found is not None:
-        return found, True
-    fit().write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path), False
+    stored = _published(spark, path)
+    if stored is not None:
+        return spark.read.parquet(stored), True
+    data = f"{path}/data-{uuid.uuid4().hex[:12]}"
+    fit().write.parquet(data)
+    spark.createDataFrame([(data,)], "data string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    return spark.read.parquet(data), False
+
+
+def _published(spark: SparkSession, path: str) -> str | None:
+    """The folder of a finished write. It is named only after the data is
+    whole, so what a failed write left behind is never read."""
+    try:
+        row = spark.read.schema("data string").parquet(f"{path}/current").first()
+    except AnalysisException:  # nothing was ever written
+        return None
+    return row["data"] if row else None
 
 
 def write_prepared(df: DataFrame, path: str) -> None:
-    """Prepared set, one folder per split (partition pruning on read)."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    """Prepared set, one folder per split (partition pruning on read). Rows are
+    rebalanced by split first: few files of the advisory size, large splits divided."""
+    df.hint("rebalance", "split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

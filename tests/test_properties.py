@@ -151,3 +151,42 @@ def test_broadcast_ceiling_falls_back_to_shuffle_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffle_partitions_for(100 * 2**40, 4000) == 200_000
     assert shuffle_partitions_for(1 << 20, 8) == 16
+
+
+def test_early_stop_looks_no_further_than_the_stop(spark):
+    from glossa.operators.metrics import early_stop
+
+    series = [.5, .6, .55, .55, .55, .55, .9]
+    rows = [("a", i + 1, v) for i, v in enumerate(series)] + [("b", i + 1, v) for i, v in enumerate([.1, .2, .3])]
+    got = {r["tag"]: (r["best_epoch"], r["best_value"], r["stop_epoch"])
+           for r in early_stop(spark.createDataFrame(rows, "tag string, epoch long, value double"), patience=4).collect()}
+    assert got == {"a": (2, .6, 6), "b": (3, .3, None)}
+
+
+def test_refused_broadcast_is_not_forced_by_the_flag(spark):
+    from glossa.operators import encode as E
+    from glossa.operators.joins import bounded_broadcast
+
+    toks = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b")], "doc_id long, sent_pos int, word_pos int, word string")
+    vocab = bounded_broadcast(spark.createDataFrame([("a", 1)], "word string, idx int"), max_bytes=1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = E.token_ids(toks, vocab, vocab_measured=True)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_long_words_have_pieces():
+    from glossa.operators.subword import greedy_pieces
+
+    assert greedy_pieces("ab" * 80, {"ab": 4, "##ab": 5}) == [4] + [5] * 79
+
+
+def test_summary_words_come_from_the_summary(spark):
+    from glossa.catalog import queries
+
+    for r in queries()["explain_docs"](spark, "/root/testdata/sf0.001").collect():
+        words = (r["summary"] or "").lower()
+        assert all(w in words for w in r["top_words"] or [])
