@@ -1,6 +1,5 @@
 """Operators that look at one row at a time, against brute force and on odd rows."""
 
-import hashlib
 import re
 import struct
 from collections import Counter
@@ -13,7 +12,7 @@ from hypothesis import strategies as st
 from glossa.llm import bpe, chat, decontam, langid, quality_model, quality_rules
 from glossa.llm.queries import tokenizer
 
-CONTROL = st.text(alphabet=st.sampled_from(list("\\<>[]/!s INTRUASWE\n") + ["</s>", "[INST]", " [/INST]", "[TURN x]"]), max_size=40)
+CONTROL = st.lists(st.sampled_from([*"\\<>[]/!s INTRUASWE\n", "</s>", "[INST]", " [/INST]", "[TURN x]", " </s>"]), max_size=30).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -162,5 +161,3 @@ def test_quality_model(spark, docs, odd_rows, sf):
     assert quality_model.score(docs([(1, "a b")]), "doc_id", "text", blank).first()["score"] == 0.5
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
