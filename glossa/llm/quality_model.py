@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from glossa.llm.common import slices, text_bytes
 
 SAMPLE_ROWS = 24_000
-SHARDS = 8
-EPOCHS = 4
+SHARDS = 2
+EPOCHS = 8
 BITS = 18
 # FTRL-proximal: step size, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.1
