@@ -84,6 +84,14 @@ def evaluate_model(spark, d):
     return MT.classification_report(preds)
 
 
+@register("evaluate_loss")
+def evaluate_loss(spark, d):
+    """Mean loss of the test split, beside the report."""
+    model, data, _ = fitted_text_model(spark, d)
+    preds = MD.predictions(model, data.where(F.col("split") == SP.TEST))
+    return MT.mean_log_loss(preds.withColumn("label", F.col("label").cast("int")))
+
+
 @register("predict_docs")
 def predict_docs(spark, d):
     model, data, classes = fitted_text_model(spark, d)

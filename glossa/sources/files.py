@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.operators.ranking import global_row_number
+
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 # The CSV writer trims values by default; text must round-trip unchanged.
 WRITE_OPTIONS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -59,9 +61,21 @@ def read_csv_reviews(spark: SparkSession, path: str, schema: str, keep: tuple[st
 REVIEW_JSON_SCHEMA = "stars double, text string, date timestamp_ntz"
 
 
-def read_jsonl_reviews(spark: SparkSession, path: str, schema: str = REVIEW_JSON_SCHEMA) -> DataFrame:
-    """JSON lines (one object per line); only the schema's fields are parsed."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def read_jsonl_reviews(spark: SparkSession, path: str, schema: str = REVIEW_JSON_SCHEMA,
+                       mode: str = "FAILFAST") -> DataFrame:
+    """JSON lines (one object per line); only the schema's fields are parsed. A
+    corrupt line is an error; ``mode="DROPMALFORMED"`` leaves such lines out."""
+    return spark.read.schema(schema).option("mode", mode).json(path)
+
+
+def with_doc_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Rows of a file corpus with ids 0, 1, 2, ... in the order of an MD5 of
+    their content. The ids depend on the rows alone, not on files, partitions
+    or tasks (rows that repeat are alike, so their order does not matter), and
+    a union of corpora is numbered anew by calling this on it."""
+    content = F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))
+    ranked = global_row_number(df.withColumn("_content", content), [F.col("_content")], name)
+    return ranked.select((F.col(name) - 1).alias(name), *df.columns)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -92,8 +106,10 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.split(F.btrim(F.col("value")), r"[ \t]+").alias("t"),
         F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m")).alias("_at"))
-    parsed = lines.where(F.size("t") > 1).select(
-        F.col("t")[0].alias("word"),
+    lines = lines.where(F.col("t")[0] != "")  # blank lines hold nothing
+    parsed = lines.select(
+        F.when(F.size("t") > 1, F.col("t")[0]).otherwise(
+            F.raise_error(F.concat(F.lit("vector line without numbers: "), F.col("t")[0]))).alias("word"),
         F.transform(F.slice("t", 2, F.size("t")), lambda x: x.cast("float")).alias("vec"), "_at")
     return parsed.groupBy("word").agg(F.max_by("vec", "_at").alias("vec"))
 

@@ -49,3 +49,30 @@ def test_metric_log_appends_runs(spark):
     assert ST.read_metrics(spark, path).count() == 4
     got = [r["value"] for r in ST.read_metrics(spark, path, "run-b").orderBy("step").collect()]
     assert got == pytest.approx([0.6, 0.8])
+
+
+def test_file_corpus_gets_stable_ids_and_can_be_prepared(spark, tmp_path):
+    from glossa.plans.prepare import prepare_hierarchical
+    from glossa.sources import files as FS
+
+    rows = [("a", f"Word{i % 7} here. Another one, line\n{i}") for i in range(60)] + [("b", "same text. Twice.")] * 40
+    path = str(tmp_path / "csv")
+    FS.write_reviews_csv(spark.createDataFrame(rows, "label string, text string").repartition(5), path)
+    read = FS.read_csv_reviews(spark, path, "label string, text string")
+    ids = {r["doc_id"]: (r["label"], r["text"]) for r in FS.with_doc_ids(read).collect()}
+    assert sorted(ids) == list(range(100)) and sorted(ids.values()) == sorted(rows)
+    assert ids == {r["doc_id"]: (r["label"], r["text"]) for r in FS.with_doc_ids(read.repartition(3)).collect()}
+    union = FS.with_doc_ids(FS.with_doc_ids(read).drop("doc_id").unionByName(read))
+    assert union.select("doc_id").distinct().count() == 200
+    assert prepare_hierarchical(FS.with_doc_ids(read), max_sentences=3, max_words=4, max_features=50).count() == 100
+
+
+def test_corrupt_json_line_is_an_error(spark, tmp_path):
+    import pytest
+
+    from glossa.sources import files as FS
+
+    (tmp_path / "a.json").write_text('{"stars": 1, "text": "x", "date": "2014-01-01T00:00:00"}\n{broken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        FS.read_jsonl_reviews(spark, str(tmp_path)).collect()
+    assert FS.read_jsonl_reviews(spark, str(tmp_path), mode="DROPMALFORMED").count() == 1
