@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder beside ``spark.checkpoint.dir`` (shared
     on a cluster) and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Spark removes shuffle files when the driver's JVM finds their plans unreachable; this step's
+    # are, and without asking they would fill the disks until its periodic collection
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(column: pa.Array) -> pa.Array:
