@@ -49,7 +49,7 @@ from glossa.llm.components import connected_components
 from glossa.llm.url_filter import build_level, passes
 
 BAND = 1.5
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 BLOOM_BITS = 1 << 20
 MEMO_ENTRIES = 400_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
