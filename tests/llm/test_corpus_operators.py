@@ -145,9 +145,9 @@ def test_line_groups_equal_brute_force(spark, docs):
     for _ in range(6):
         texts += variants(rng, [f"w{rng.randrange(10 ** 5)}" for _ in range(25)], 9, 2)
     df = docs([(i, t) for i, t in enumerate(texts)])
-    hashed = line_dedup._simhashed(line_dedup._lines(line_dedup._documents(df, "doc_id", "text")))
-    rows = hashed.join(df.select(F.col("doc_id").alias("key"), "text"), "key").select(
-        "h", "s0", "s1", line_dedup._blocks().alias("b"), "text").distinct().collect()
+    hashed = line_dedup._simhashed(line_dedup._lines(df, "doc_id", "text").select("h", "norm").distinct())
+    rows = hashed.join(df.select(F.xxhash64("text").alias("h"), "text").distinct(), "h").select(
+        "h", "s0", "s1", line_dedup._blocks().alias("b"), "text").collect()
     links = []
     for x, y in itertools.combinations(rows, 2):
         bits = sum(((x[s] ^ y[s]) & (2 ** 64 - 1)).bit_count() for s in ("s0", "s1"))
@@ -158,6 +158,25 @@ def test_line_groups_equal_brute_force(spark, docs):
     assert links and got == want
 
 
+def test_simhash_equals_counting(spark, docs):
+    """Each bit is the weighted majority of the words' bits, ties by the line's hash; lines of one word to many runs."""
+    rng = random.Random(6)
+    lines = [" ".join("z" * rng.randrange(14) + f"{rng.randrange(10 ** 4)}" for _ in range(n)) for n in (1, 2, 2, 4, 99, 100, 101, 950)]
+    df = docs(list(enumerate(lines)))
+    found = line_dedup._lines(df, "doc_id", "text").select("h", "norm")
+    of = {}
+    for r in found.select("h", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).withColumn(
+            "x0", F.xxhash64("w")).withColumn("x1", F.xxhash64("x0")).collect():
+        of.setdefault(r["h"], []).append((min(max(len(r["w"]) - 2, 1), line_dedup.MAX_WEIGHT), r["x0"], r["x1"]))
+    got = {r["h"]: (r["s0"], r["s1"]) for r in line_dedup._simhashed(found).collect()}
+    assert len(got) == len(lines)
+    for h, words in of.items():
+        total = sum(w for w, *_ in words)
+        for s in (0, 1):
+            counts = [sum(w for w, *x in words if x[s] >> i & 1) for i in range(60)]
+            assert got[h][s] == sum((2 * c + (h >> i & 1 if total % 2 == 0 else 0) > total) << i for i, c in enumerate(counts))
+
+
 def test_sharding(spark, docs, odd_rows):
     rows = [*odd_rows, *((i, str(i)) for i in range(1000, 5000))]
     df = docs(rows).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.col("shard").alias("slot0"))
