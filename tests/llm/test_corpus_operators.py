@@ -177,6 +177,25 @@ def test_simhash_equals_counting(spark, docs):
             assert got[h][s] == sum((2 * c + (h >> i & 1 if total % 2 == 0 else 0) > total) << i for i, c in enumerate(counts))
 
 
+def test_middles_keep_the_edit_distance(spark):
+    rng = random.Random(8)
+    pairs = []
+    while len(pairs) < 300:
+        x = [rng.choice(["a", "bb", "b", "cab"]) for _ in range(rng.randrange(1, 9))]
+        y = list(x)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.randrange(2)] = rng.choices(["a", "bb", "new"], k=rng.randrange(3))
+        if y and x != y:
+            pairs.append((" ".join(x), " ".join(y)))
+    pairs.append(("same " * 50 + "end", "same " * 50 + "fin"))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    a, b = line_dedup._middles(F.col("x"), F.col("y"))
+    rows = df.select(F.levenshtein("x", "y").alias("whole"), a.alias("a"), b.alias("b")).select(
+        "whole", F.levenshtein("a", "b").alias("middle"), "a").collect()
+    assert all(r["whole"] == r["middle"] for r in rows) and rows[-1]["a"] == "same end"
+
+
 def test_sharding(spark, docs, odd_rows):
     rows = [*odd_rows, *((i, str(i)) for i in range(1000, 5000))]
     df = docs(rows).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.col("shard").alias("slot0"))
