@@ -158,6 +158,65 @@ def test_line_groups_equal_brute_force(spark, docs):
     assert links and got == want
 
 
+def similar_pairs(texts):
+    """Pairs with an edit similarity of at least 0.8, however long and whatever else."""
+    rows = sorted(set(texts))
+    out = []
+    for a, b in itertools.combinations(rows, 2):
+        most = max(len(a), len(b)) // 5
+        if abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most:
+            out.append((a, b))
+    return out
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def grouped(spark, docs, texts):
+    """The group of each text; one of its own if it is in none."""
+    df = docs(list(enumerate(texts)))
+    roots = {r["node"]: r["root"] for r in line_dedup.line_groups(df, "doc_id", "text")[1].collect()}
+    return {r["text"]: roots.get(r["h"], r["h"]) for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+
+
+def edited(rng, text, share, alphabet):
+    """``text`` with a share of its characters changed, left out or doubled."""
+    out = list(text)
+    for _ in range(int(len(text) * share)):
+        i = rng.randrange(len(out))
+        out[i] = rng.choice([rng.choice(alphabet), "", out[i] * 2])
+    return "".join(out)
+
+
+def test_line_dedup_finds_similar_pairs(spark, docs):
+    """Recall against all pairs of similarity 0.8, whatever their SimHashes; all of the short ones."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(400)]
+    long, short = [], []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randrange(12, 40))
+        near = list(base)
+        for i in rng.sample(range(len(near)), len(near) // 7):
+            near[i] = rng.choice(words)
+        long += [" ".join(base), " ".join(near)]
+    for _ in range(150):
+        base = "".join(rng.choices("abcde ", k=rng.randrange(4, 15))).strip(" ")
+        short += [" ".join(x.split()) for x in (base, edited(rng, base, 0.15, letters) + rng.choice(letters))]
+    short = [x for x in short if x and len(x) <= 14]
+    for texts, least in ((long, 0.95), (short, 1)):
+        pairs = similar_pairs(texts)
+        group = grouped(spark, docs, texts)
+        assert len(pairs) > 40
+        assert sum(group[a] == group[b] for a, b in pairs) >= least * len(pairs)
+
+
 def test_simhash_equals_counting(spark, docs):
     """Each bit is the weighted majority of the words' bits, ties by the line's hash; lines of one word to many runs."""
     rng = random.Random(6)
