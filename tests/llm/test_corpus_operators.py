@@ -217,6 +217,19 @@ def test_line_dedup_finds_similar_pairs(spark, docs):
         assert sum(group[a] == group[b] for a, b in pairs) >= least * len(pairs)
 
 
+def test_line_dedup_needs_no_blanks(spark, docs):
+    """Lines without blanks, and of other scripts, are compared like others."""
+    rng = random.Random(15)
+    texts = []
+    for alphabet, n in (("的一是在不了有和人这中大为上个国我以要他", 60), ("abcdefghijklmnopqrstuvwxyz0123456789/", 200), ("กขคงจฉชซดตถ", 90)):
+        for _ in range(8):
+            base = "".join(rng.choices(alphabet, k=n))
+            texts += [base, base[:n // 2] + rng.choice(alphabet) + base[n // 2 + 1:], base[:n // 3] + base[n // 3 + 3:]]
+    pairs = similar_pairs(texts)
+    group = grouped(spark, docs, texts)
+    assert len(pairs) >= 60 and all(group[a] == group[b] for a, b in pairs)
+
+
 def test_simhash_equals_counting(spark, docs):
     """Each bit is the weighted majority of the words' bits, ties by the line's hash; lines of one word to many runs."""
     rng = random.Random(6)
