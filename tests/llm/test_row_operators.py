@@ -150,6 +150,22 @@ def test_language_id(spark, docs, odd_rows, sf):
     assert {r["lang_pred"] for r in langid.identify(docs(odd_rows), "doc_id", "text", {}).collect()} == {"und"}
 
 
+def test_language_of_long_texts(spark, docs, sf):
+    """Clean texts of several MB are not rejected for their length."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null")
+    learnt = langid.learn(table, "doc_id", "text", "lang")
+    words = {}
+    for r in table.select("lang", "text").collect():
+        words.setdefault(r["lang"], []).extend(r["text"].split())
+    rng = np.random.default_rng(2)
+    langs = sorted(words)
+    texts = [" ".join(rng.choice(words[lang], 600_000)) for lang in langs]
+    assert min(map(len, texts)) > 2_000_000
+    out = {r["doc_id"]: r for r in langid.identify(docs(list(enumerate(texts))), "doc_id", "text", learnt).collect()}
+    assert [out[i]["lang_pred"] for i in range(len(langs))] == langs
+    assert not any(r["rejected"] for r in out.values())
+
+
 def test_quality_model(spark, docs, odd_rows, sf):
     table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     weights = quality_model.fit(table, "doc_id", "text", labels, "doc_id", "quality")
