@@ -230,6 +230,21 @@ def test_line_dedup_needs_no_blanks(spark, docs):
     assert len(pairs) >= 60 and all(group[a] == group[b] for a, b in pairs)
 
 
+def test_line_dedup_long_lines(spark, docs):
+    """A fifth of the characters may differ in long lines as in short ones, and beyond MAX_FUZZY_WORDS."""
+    rng = random.Random(16)
+    texts, same, other = [], [], []
+    for n, share in ((130, 0.14), (600, 0.12), (600, 0.3), (110_000, 0)):
+        base = [f"{rng.randrange(10 ** 5):05d}" for _ in range(n)]
+        near = list(base)
+        for i in rng.sample(range(n), int(n * share)) or (5000, 5001, 5002):
+            near[i] = "!!!!!"
+        texts += [" ".join(base), " ".join(near)]
+        (other if share > 0.2 else same).append(tuple(texts[-2:]))
+    group = grouped(spark, docs, texts)
+    assert all(group[a] == group[b] for a, b in same) and all(group[a] != group[b] for a, b in other)
+
+
 def test_simhash_equals_counting(spark, docs):
     """Each bit is the weighted majority of the words' bits, ties by the line's hash; lines of one word to many runs."""
     rng = random.Random(6)
