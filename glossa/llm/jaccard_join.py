@@ -218,8 +218,13 @@ def components(df: DataFrame, key: str, text: str, size: int = 3, percent: int =
     """``(key, rk, n_shingles, cls, component)`` per row; ``rk`` is
     ``xxhash64(text)``, ``cls`` the identity of the shingle set, ``component``
     the smallest key reachable by links."""
+    return _rooted(df, key, text, size, percent).drop("root")
+
+
+def _rooted(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """:func:`components`, and ``root``: a class of the component, null keys only or not."""
     signed = landed(signatures(df, key, text, size, percent), "signatures")
-    named = signed.where(F.col("cls").isNotNull() & F.col("key").isNotNull())
+    named = signed.where(F.col("cls").isNotNull())
     tokens = named.select("cls", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("share"), F.min("cls").alias("c0"),
                                          F.max("cls").alias("c1")).where("c0 <> c1").select("token", "share")
@@ -232,7 +237,7 @@ def components(df: DataFrame, key: str, text: str, size: int = 3, percent: int =
     groups = weighed.join(leaders, "token").groupBy("cls").agg(F.max("leader").alias("leader")).select(
         "cls", F.col("leader.cls").alias("leader"))
     one = named.join(groups, "cls").groupBy("cls", "leader").agg(
-        F.min(F.struct("key", "rk")).alias("row"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in _SKETCH])
+        F.min(F.struct(F.col("key").isNull().alias("null"), "key", "rk")).alias("row"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in _SKETCH])
     texts = landed(one.select("cls", "leader", "row.key", "row.rk", "n", *_SKETCH), "texts")
 
     # the bound against the own group's leader, then between the texts of a token in open groups
@@ -258,10 +263,10 @@ def components(df: DataFrame, key: str, text: str, size: int = 3, percent: int =
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("key").alias("name")).join(
         roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("name").alias("component"))
-    classes = classes.join(names, "root").select("cls", "component")
+    classes = classes.join(names, "root").select("cls", "root", "component")
     out = signed.select("key", "rk", F.col("n").alias("n_shingles"), "cls").join(classes, "cls", "left")
     return out.select(F.col("key").alias(key), "rk", "n_shingles", "cls",
-                      F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+                      F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"), "root")
 
 
 def _shingle_sets(df: DataFrame, key: str, text: str, texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -272,19 +277,18 @@ def _shingle_sets(df: DataFrame, key: str, text: str, texts: DataFrame, pairs: D
     ident = F.xxhash64("key", "rk")
     bloom = build_level(keys.select(ident.alias("key")), 0, 0, 0.5, n_bits=BLOOM_BITS)
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("rk"), F.col(text).alias("text"))
-    rows = rows.where(passes(ident, 0, bloom)).join(keys, ["key", "rk"], "left_semi")
-    return landed(shingle_rows(rows.groupBy("key", "rk").agg(F.first("text").alias("text")), size), "shingles")
+    rows = null_safe(rows.where(passes(ident, 0, bloom))).join(null_safe(keys), ["_k", "_null", "rk"], "left_semi")
+    return landed(shingle_rows(rows.groupBy("_k", "_null", "rk").agg(F.first("text").alias("text")), size), "shingles")
 
 
 def keep_one(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
     """``df``, same columns, with one document of each component: the one with
     the least key (nulls last), then text hash. Documents without words all
     stay; rows that repeat key and text are one."""
-    found = components(df, key, text, size, percent).withColumnRenamed(key, "key")
-    # one group for each component; texts of null keys only by themselves, as are those without words
-    group = F.when(F.col("cls").isNull(), F.struct(F.lit(2).alias("k"), F.xxhash64("key", "rk").alias("v"))).when(
-        F.col("component").isNull(), F.struct(F.lit(1).alias("k"), F.col("cls").alias("v"))).otherwise(
-        F.struct(F.lit(0).alias("k"), F.xxhash64("component").alias("v")))
+    found = _rooted(df, key, text, size, percent).withColumnRenamed(key, "key")
+    # one group for each component, also of null keys only; texts without words by themselves
+    group = F.when(F.col("cls").isNull(), F.struct(F.lit(1).alias("k"), F.xxhash64("key", "rk").alias("v"))).otherwise(
+        F.struct(F.lit(0).alias("k"), F.col("root").alias("v")))
     kept = found.groupBy(group.alias("g")).agg(F.min(F.struct(
         F.col("key").isNull().alias("null"), "key", "rk")).alias("first")).select("first.key", "first.rk")
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])

@@ -92,6 +92,19 @@ def test_keep_one(spark, docs, odd_rows):
     assert jaccard_join.keep_one(docs([]), "doc_id", "text").count() == 0
 
 
+def test_null_ids_are_linked(spark, docs):
+    """A null id first in a group of near copies, one as a near copy, and two near copies with null ids only."""
+    a, b = ([f"{x}{i}" for i in range(200)] for x in "pq")
+    near = [" ".join([*a[:k], "new", *a[k + 1:]]) for k in (50, 120)]
+    rows = [(None, " ".join(a)), (1, " ".join(a)), (2, near[0]), (None, near[1]),
+            (None, " ".join(b)), (None, " ".join(["new", *b[1:]]))]
+    df = docs(rows).coalesce(1)
+    out = jaccard_join.components(df, "doc_id", "text", 3, 90).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component"])) for r in out) == brute_components(rows, 3, 90)
+    kept = jaccard_join.keep_one(df, "doc_id", "text", 3, 90).collect()
+    assert sorted((str(r["doc_id"]), r["text"].count("p1") > 0) for r in kept) == [("1", True), ("None", False)]
+
+
 def test_segments_keep_the_pigeonhole_promise():
     import numpy as np
 
