@@ -9,7 +9,7 @@ from glossa.operators import labels as OL
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_class_with_one_row_and_null_label(spark):

@@ -8,7 +8,7 @@ from glossa.operators import metrics as MT
 from glossa.operators import models as MD
 from glossa.operators import splits as SP
 
-from conftest import SF01
+from paths import SF01
 
 
 def test_text_classifier_beats_majority(spark):

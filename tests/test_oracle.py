@@ -4,7 +4,7 @@ import pytest
 
 from glossa.catalog import oracle_sql, queries
 
-from conftest import SF001
+from paths import SF001
 
 import tools.oracle_check as oc
 

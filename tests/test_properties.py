@@ -12,7 +12,7 @@ from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
 from glossa.sources import tables
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 
 def test_global_rank_equals_window(spark):

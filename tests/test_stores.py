@@ -8,7 +8,7 @@ from glossa.session import scratch_path
 from glossa.sources import stores as ST
 from glossa.sources import tables
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_vocab_store_reuses_only_same_fingerprint(spark):
