@@ -21,16 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path_of(sf_dir, name))
 
 
+# Spark's own setting: a finished write's shuffle files go at once, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def landed(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to a fresh folder beside ``spark.checkpoint.dir`` (shared
     on a cluster) and read it back: cuts lineage, survives lost executors.
     ``codec`` ``zstd`` is for texts: a third smaller, a little slower."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=codec)
-    # Spark removes shuffle files when the driver's JVM finds their plans unreachable; this step's
-    # are, and without asking they would fill the disks until its periodic collection
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Empty the folders of landed steps that nothing reads any more (whatever
+    was made from them must be landed as well)."""
+    for step in steps:
+        step.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(step.landed_at)
 
 
 def text_bytes(column: pa.Array) -> pa.Array:

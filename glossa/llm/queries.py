@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator with
+"""The registered queries of the operators: each applies its operator with
 production parameters to its whole table."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import (bpe, chat, decontam, jaccard_join, langid, line_dedup, quality_model, quality_rules, sharding,
+from glossa.llm import (bpe, chat, decontam, divergence, jaccard_join, langid, line_dedup, merkle, quality_model, quality_rules, sharding,
                         url_filter)
 from glossa.llm.common import is_held_out, table
 from glossa.llm.oracles import ORACLES
@@ -97,10 +97,28 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "lang", "source", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    leaf = merkle.leaf_of(fields)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = merkle.leaf_of([*fields[:-1], F.translate("text", upper, lower)])
+    out = merkle.manifest(docs, "doc_id", "source", leaf, F.when(tampered, changed).otherwise(leaf))
+    digest = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "proof", "folded_root")}
+    return out.select("doc_id", digest["leaf"].alias("leaf"), digest["subroot"].alias("subroot"), digest["root"].alias("root"),
+                      digest["proof"].alias("proof_sha256"), digest["folded_root"].alias("folded_root"),
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_quality_rules, op4_decontaminate, op5_line_dedup,
                             op6_rendezvous_shards, op7_jaccard_join, op8_url_filter, op9_language_id,
-                            op10_quality_model)}
+                            op10_quality_model, op11_source_divergence, op12_merkle_manifest)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
