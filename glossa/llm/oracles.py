@@ -185,4 +185,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": _URLS,
     "op11_source_divergence": _DIVERGENCE,
     "op12_merkle_manifest": _MERKLE,
+    "op13_warc": _WARC,
 }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import (bpe, chat, decontam, divergence, jaccard_join, langid, line_dedup, merkle, quality_model, quality_rules, sharding,
-                        url_filter)
-from glossa.llm.common import is_held_out, table
+                        url_filter, warc)
+from glossa.llm.common import is_held_out, landed, table
 from glossa.llm.oracles import ORACLES
 
 N_SHARDS = 24
@@ -115,10 +115,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    out = warc.resolved(landed(warc.read_archives(spark, path), "warc-read"))
+    return out.select(F.col("key").cast("long").alias("page_id"), F.col("n").alias("payload_bytes"),
+                      F.col("digest").alias("payload_digest"), "record_type", F.col("refers_key").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_quality_rules, op4_decontaminate, op5_line_dedup,
                             op6_rendezvous_shards, op7_jaccard_join, op8_url_filter, op9_language_id,
-                            op10_quality_model, op11_source_divergence, op12_merkle_manifest)}
+                            op10_quality_model, op11_source_divergence, op12_merkle_manifest,
+                            op13_warc)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
