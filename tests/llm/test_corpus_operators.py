@@ -148,7 +148,7 @@ def edit_similar(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
     longest = max(len(a), len(b))
-    return row[-1] <= min(int(longest * (1 - line_dedup.SIMILARITY) + 1e-9), line_dedup.MAX_EDITS)
+    return row[-1] <= int(longest * (1 - line_dedup.SIMILARITY) + 1e-9)
 
 
 def test_line_groups_equal_brute_force(spark, docs):
@@ -158,7 +158,8 @@ def test_line_groups_equal_brute_force(spark, docs):
     for _ in range(6):
         texts += variants(rng, [f"w{rng.randrange(10 ** 5)}" for _ in range(25)], 9, 2)
     df = docs([(i, t) for i, t in enumerate(texts)])
-    hashed = line_dedup._simhashed(line_dedup._lines(df, "doc_id", "text").select("h", "norm").distinct())
+    lines = line_dedup._lines(df, "doc_id", "text").select("h", "norm").distinct()
+    hashed = line_dedup._simhashed(lines).join(line_dedup._windowed(lines), "h")
     rows = hashed.join(df.select(F.xxhash64("text").alias("h"), "text").distinct(), "h").select(
         "h", "s0", "s1", line_dedup._blocks().alias("b"), "text").collect()
     links = []
@@ -244,7 +245,7 @@ def test_line_dedup_needs_no_blanks(spark, docs):
 
 
 def test_line_dedup_long_lines(spark, docs):
-    """A fifth of the characters may differ in long lines as in short ones, and beyond MAX_FUZZY_WORDS."""
+    """A fifth of the characters may differ in long lines as in short ones, and beyond 100,000 words."""
     rng = random.Random(16)
     texts, same, other = [], [], []
     for n, share in ((130, 0.14), (600, 0.12), (600, 0.3), (110_000, 0)):
@@ -277,6 +278,35 @@ def test_simhash_equals_counting(spark, docs):
             assert got[h][s] == sum((2 * c + (h >> i & 1 if total % 2 == 0 else 0) > total) << i for i, c in enumerate(counts))
 
 
+def test_simhash_of_long_words(spark, docs):
+    """A word without blanks counts as its windows of bytes, each once and with weight 1."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("abcdef", k=n)) for n in (24, 25, 400)] + ["short ones " + "的一是在不了有和人这" * 3, "x" * 60]
+    found = line_dedup._lines(docs(list(enumerate(lines))), "doc_id", "text").select("h", "norm")
+    rows = found.select("norm", F.posexplode(line_dedup._features(F.col("norm")))).collect()
+    got = {x: sorted(bytes(r["col"]) for r in rows if r["norm"] == x) for x in lines}
+    for x in lines:
+        want = set()
+        for w in x.split(" "):
+            w = w.encode()
+            want |= {w} if len(w) <= 24 else {b"\0" + w[i:i + 6] for i in range(len(w) - 5)}
+        assert got[x] == sorted(want)
+
+
+def test_line_dedup_of_boilerplate_is_not_quadratic(spark, docs, monkeypatch):
+    """Thousands of lines with one prefix share windows, yet few pairs are compared; their near copies are found."""
+    rng = random.Random(21)
+    tails = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60)) for _ in range(4000)]
+    texts = [f"printed by the same shop {t}" for t in tails] + [f"printed by the same shop {t[:30]}#{t[31:]}" for t in tails[:40]]
+    asked = []
+    compare = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, t: (asked.append(pairs.count()), compare(pairs, t))[1])
+    group = grouped(spark, docs, texts)
+    assert sum(asked) < 400_000  # of 8 million
+    assert sum(group[texts[i]] == group[texts[4000 + i]] for i in range(40)) >= 39
+    assert len(set(group.values())) >= 3990
+
+
 def test_middles_keep_the_edit_distance(spark):
     rng = random.Random(8)
     pairs = []
