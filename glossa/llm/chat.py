@@ -2,12 +2,14 @@
 
 A conversation is rendered as one string. Each turn is an opener, the text and
 a closer; the three known roles have their own control strings, any other role
-is written out in the opener. After rendering, a deterministic parser reads the
-string back and the recovered turns are compared with the source. Turns that do
-not survive are rendered again with their content escaped (the opener says so),
-until the recovered turns are identical: verbatim, then control strings and
-backslashes escaped, then every character that a control string could start
-with. Only conflicting content is ever changed, and parsing undoes it.
+is written out in the opener. A text that holds a control string is escaped (the
+opener says so): a backslash breaks up each of them, so none ever stands in a
+text, and backslashes are doubled. After rendering, a deterministic parser reads
+the string back and the recovered turns are compared with the source. Turns that
+do not survive are rendered again at the next level, until the recovered turns
+are identical: verbatim, then control strings and backslashes escaped, then
+every character that a control string could be made of. Only conflicting content is
+ever changed, and parsing undoes it.
 
 One shuffle by conversation; the rest is per conversation.
 
@@ -32,8 +34,9 @@ CLOSERS = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 OTHER_CLOSER = "[/TURN]"
 CONTROLS = [*OPENERS.values(), *CLOSERS.values(), "[TURN", OTHER_CLOSER]
 
-_CONFLICT = re.compile("|".join(map(re.escape, [*CONTROLS, "\\"])))
-_ANY_START = re.compile(r"[\\<\[\]]")
+_CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
+_CONFLICT = re.compile(_CONTROL.pattern + r"|\\")
+_ANY_START = re.compile(r"[\\<>\[\]/]|(?<=\[)T")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 # An opener: a known one or [TURN role]; then the level as a run of "!", then a blank.
 _OPENER = re.compile(
@@ -47,7 +50,9 @@ _BODY = {
 def escape(text: str, level: int) -> str:
     if level == 0:
         return text
-    return (_CONFLICT if level == 1 else _ANY_START).sub(lambda m: "\\" + m[0], text)
+    if level == 1:  # a control string is broken up behind its first character
+        return _CONFLICT.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    return _ANY_START.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str, level: int) -> str:
@@ -81,7 +86,7 @@ def parse(rendered: str) -> list[tuple[str, str, int, int, int]] | None:
 
 def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int, int, int]]]:
     """The rendered conversation and its turns read back from it."""
-    levels = [0] * len(turns)
+    levels = [1 if _CONTROL.search(text) else 0 for _, text in turns]
     for level in (0, 1, 2):
         rendered = "".join(render_turn(r, t, n) for (r, t), n in zip(turns, levels, strict=True))
         back = parse(rendered)

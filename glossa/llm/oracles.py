@@ -3,7 +3,7 @@
 _SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # Overheads of the template: opener + blank, blank + closer; a turn whose text
-# holds its own closer (with the blank) is escaped and marked with one "!".
+# holds a control string is escaped and marked with one "!".
 _CHAT = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -11,13 +11,13 @@ WITH rows AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 turns AS (
   SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '[ANSWER]'
-              ELSE '[TURN ' || regexp_replace(role, '[\\<\[\]]', '\\\0', 'g') || ']' END AS opener,
+              ELSE '[TURN ' || replace(regexp_replace(role, '[\\<>\[\]/]', '\\\0', 'g'), '\[T', '\[\T') || ']' END AS opener,
          CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>'
               ELSE '[/TURN]' END AS closer
   FROM rows),
 sized AS (
   SELECT *, length(opener) + 1 + length(text) + 1 + length(closer)
-    + CASE WHEN contains(text, ' ' || closer) THEN 1 + len(regexp_extract_all(text,
+    + CASE WHEN regexp_matches(text, '<<SYS>>|\[INST\]|\[ANSWER\]|<</SYS>>|\[/INST\]|</s>|\[TURN|\[/TURN\]') THEN 1 + len(regexp_extract_all(text,
         '<<SYS>>|\[INST\]|\[ANSWER\]|<</SYS>>|\[/INST\]|</s>|\[TURN|\[/TURN\]|\\')) ELSE 0 END AS chars
   FROM turns)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
