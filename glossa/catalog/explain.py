@@ -13,10 +13,10 @@ from glossa.operators import vocab as V
 N_SENT, N_WORDS = 3, 5
 
 BASE_SQL = f"""{VOCAB_CTE},
-st AS ({S.sentence_rows_sql()}),
-tw AS (SELECT tk.doc_id, tk.sent_pos, tk.word_pos, tk.word, CAST(v.idx AS BIGINT) AS weight
+st AS MATERIALIZED ({S.sentence_rows_sql()}),
+tw AS MATERIALIZED (SELECT tk.doc_id, tk.sent_pos, tk.word_pos, tk.word, CAST(v.idx AS BIGINT) AS weight
        FROM tk JOIN vocab v ON tk.word = v.word),
-sw AS (SELECT st.doc_id, st.sent_pos, CAST(coalesce(sum(tw.weight), 0) AS BIGINT) AS weight
+sw AS MATERIALIZED (SELECT st.doc_id, st.sent_pos, CAST(coalesce(sum(tw.weight), 0) AS BIGINT) AS weight
        FROM st LEFT JOIN tw ON st.doc_id = tw.doc_id AND st.sent_pos = tw.sent_pos
        GROUP BY st.doc_id, st.sent_pos),
 sr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, sent_pos) AS rank FROM sw)"""
@@ -92,12 +92,13 @@ def extractive_summary(spark, d):
 @register("highlight_spans", sql=f"""WITH {BASE_SQL},
 sl AS (SELECT doc_id, sent_pos, {_S_LEVEL} AS sent_level,
               row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, sent_pos) <= {N_SENT} AS chosen FROM sw),
-tt AS (SELECT tw.*, sl.sent_level, sl.chosen FROM tw JOIN sl ON tw.doc_id = sl.doc_id AND tw.sent_pos = sl.sent_pos),
-cb AS (SELECT doc_id, word, ntile(3) OVER ({WORD_ORDER}) AS b FROM tt WHERE chosen),
-best AS (SELECT doc_id, word, min(b) AS b FROM cb GROUP BY doc_id, word)
-SELECT tt.doc_id, tt.sent_pos, tt.word_pos, tt.word, tt.sent_level,
-       CASE WHEN tt.chosen THEN CASE best.b WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END END AS word_level
-FROM tt LEFT JOIN best ON tt.doc_id = best.doc_id AND tt.word = best.word""")
+tt AS MATERIALIZED (SELECT tw.*, sl.sent_level, sl.chosen FROM tw JOIN sl ON tw.doc_id = sl.doc_id AND tw.sent_pos = sl.sent_pos),
+cb AS (SELECT *, CASE WHEN chosen THEN ntile(3) OVER (PARTITION BY doc_id, chosen ORDER BY weight DESC, sent_pos, word_pos) END AS b
+       FROM tt),
+lv AS (SELECT *, CASE WHEN chosen THEN min(b) OVER (PARTITION BY doc_id, word) END AS best FROM cb)
+SELECT doc_id, sent_pos, word_pos, word, sent_level,
+       CASE best WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END AS word_level
+FROM lv""")
 def highlight_spans(spark, d):
     _, tw, sw = parts(spark, d)
     return X.highlight_spans(tw, sw, N_SENT)

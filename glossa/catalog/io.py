@@ -4,6 +4,9 @@ the library reader's view of it (a round trip over the whole table)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa import sqltext as S
@@ -107,7 +110,7 @@ def vocab_store(spark, d):
 def _prepared_sql() -> str:
     from glossa.catalog import oracle_sql
 
-    return f"SELECT * FROM ({oracle_sql()['prepare_hierarchical'].strip()}) WHERE split = 'test'"
+    return oracle_sql()["prepare_hierarchical"].strip()
 
 
 @register("prepared_store", sql=_prepared_sql())
@@ -116,7 +119,8 @@ def prepared_store(spark, d):
 
     path = scratch_path(spark, "prepared")
     ST.write_prepared(prepare_hierarchical(spark, d), path)
-    return ST.read_prepared(spark, path, "test").select("doc_id", "split", "code", "y", "x")
+    parts = [ST.read_prepared(spark, path, split) for split in (SP.TRAIN, SP.VALIDATION, SP.TEST)]
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "split", "code", "y", "x")
 
 
 @register("metric_log", sql="""

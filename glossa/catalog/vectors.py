@@ -125,10 +125,11 @@ ss AS (SELECT *, {_score_sql('svec', _u_sql(1))} AS score FROM sv),
 sw AS (SELECT *, exp(score) / (sum(exp(score)) OVER (PARTITION BY doc_id) + 1e-7) AS w FROM ss),
 dd AS (SELECT doc_id, w, unnest(range(len(svec))) AS i, unnest(svec) AS v FROM sw),
 dv AS (SELECT doc_id, i, sum(w * v) AS v FROM dd GROUP BY doc_id, i),
-dp AS (SELECT doc_id, list(round(v, 6) ORDER BY i) AS doc_vec FROM dv GROUP BY doc_id)
-SELECT d.doc_id, coalesce(dp.doc_vec, list_transform(range((SELECT d FROM dim)), lambda i: CAST(0 AS DOUBLE))) AS doc_vec
-FROM documents d LEFT JOIN dp ON dp.doc_id = d.doc_id""")
+places AS (SELECT doc_id, CAST(unnest(range((SELECT d FROM dim))) AS INTEGER) AS pos FROM documents)
+SELECT p.doc_id, p.pos, coalesce(dv.v, 0.0::DOUBLE) AS value
+FROM places p LEFT JOIN dv ON dv.doc_id = p.doc_id AND dv.i = p.pos""")
 def attention_pool(spark, d):
+    """One row for each document and dimension."""
     out = PL.attention_pool(tok_vecs(spark, d), context_vector(spark, d, 0), context_vector(spark, d, 1))
-    out = out.select("doc_id", VX.round_array("doc_vec").alias("doc_vec"))
-    return PL.keep_documents(out, C.docs(spark, d), dim_of(spark, d), "doc_vec", "double")
+    out = PL.keep_documents(out.select("doc_id", "doc_vec"), C.docs(spark, d), dim_of(spark, d), "doc_vec", "double")
+    return out.select("doc_id", F.posexplode("doc_vec").alias("pos", "value"))

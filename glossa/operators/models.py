@@ -195,8 +195,8 @@ def sentence_importance(word_imp: DataFrame, sentences: DataFrame) -> DataFrame:
     return s.withColumn("weight", F.exp(shifted) / F.sum(F.exp(shifted)).over(w))
 
 
-def attach_soft_targets(prepared: DataFrame, soft: DataFrame) -> DataFrame:
+def attach_soft_targets(prepared: DataFrame, soft: DataFrame, name: str = "soft_targets") -> DataFrame:
     """Distillation set: every prepared row, with the teacher's soft targets
-    joined by ``doc_id`` on training rows and a null ``soft_targets`` (not
-    zeros) everywhere else."""
-    return prepared.join(soft.select("doc_id", "soft_targets"), "doc_id", "left")
+    (column ``name``) joined by ``doc_id`` on training rows and null (not zeros)
+    everywhere else."""
+    return prepared.join(soft.select("doc_id", name), "doc_id", "left")

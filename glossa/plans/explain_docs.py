@@ -25,6 +25,13 @@ def explain_documents(model, docs: DataFrame, classes: DataFrame, n_sentences: i
     wi = MD.word_importance(model, tok.clean_tokens(docs), preds).withColumnRenamed("importance", "weight")
     sw = MD.sentence_importance(wi.withColumnRenamed("weight", "importance"), sents) \
         .select("doc_id", "sent_pos", F.col("importance").alias("weight"))
+    return explained(preds, wi, sw, sents, classes, n_sentences, n_words)
+
+
+def explained(preds: DataFrame, wi: DataFrame, sw: DataFrame, sents: DataFrame, classes: DataFrame,
+              n_sentences: int = 3, n_words: int = 5) -> DataFrame:
+    """The same from any model's ``preds(doc_id, pred, probability)``, word and
+    sentence weights."""
     chosen = materialize(X.top_sentences(sw, n_sentences).select("doc_id", "sent_pos"))  # n rows a document, read twice
     summary = X.extractive_summary(sents, chosen)
     words = (X.top_words(X.in_sentences(wi, chosen), n_words).groupBy("doc_id")
