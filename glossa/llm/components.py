@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import landed
+from glossa.llm.common import discard, landed
 
 MAX_ROUNDS = 60
 
@@ -39,5 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = landed(small, "edges")
+        done, now = now, landed(small, "edges")
+        discard(done)
     raise RuntimeError(f"components are not done after {MAX_ROUNDS} rounds")

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import landed, null_safe, slices, text_bytes
+from glossa.llm.common import discard, landed, null_safe, slices, text_bytes
 from glossa.llm.components import connected_components
 from glossa.llm.url_filter import build_level, passes
 
@@ -239,13 +239,16 @@ def _rooted(df: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     one = named.join(groups, "cls").groupBy("cls", "leader").agg(
         F.min(F.struct(F.col("key").isNull().alias("null"), "key", "rk")).alias("row"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in _SKETCH])
     texts = landed(one.select("cls", "leader", "row.key", "row.rk", "n", *_SKETCH), "texts")
+    rows = landed(signed.select("key", "rk", "n", "cls"), "rows")
+    discard(signed)  # its tokens are in the matrix
 
     # the bound against the own group's leader, then between the texts of a token in open groups
     plain = texts.select("cls", "n", *_SKETCH)
     own = _of(texts.where("cls <> leader").drop("key", "rk"), "x_").join(_of(plain, "y_"), F.col("x_leader") == F.col("y_cls"))
-    own = landed(own.where(_may_link(percent)).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")), "own-group")
-    sets = _shingle_sets(df, key, text, texts, own, size)
-    own = landed(_verified(own, sets, percent), "own-links")
+    asked = landed(own.where(_may_link(percent)).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")), "own-group")
+    sets = _shingle_sets(df, key, text, texts, asked, size)
+    own = landed(_verified(asked, sets, percent), "own-links")
+    discard(asked, sets)
     roots = connected_components(own)
     rooted = texts.select("cls", "leader", "n", *_SKETCH).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.coalesce("root", "cls"))
@@ -253,18 +256,21 @@ def _rooted(df: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     opened = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     members = landed(placed.select("token", "cls").join(opened.select("token"), "token", "left_semi").join(rooted, "cls"),
                      "members")
+    discard(matrix)
     pairs = _of(members, "x_").join(
         _of(members, "y_"), (F.col("x_token") == F.col("y_token")) & (F.col("x_root") < F.col("y_root"))
         & (F.col("x_cls") != F.col("y_leader")) & (F.col("y_cls") != F.col("x_leader")) & _may_link(percent))
     pairs = landed(pairs.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct(), "open-pairs")
-    links = own.unionByName(_verified(pairs, _shingle_sets(df, key, text, texts, pairs, size), percent))
-    roots = connected_components(links)
+    discard(members)
+    sets = _shingle_sets(df, key, text, texts, pairs, size)
+    roots = connected_components(own.unionByName(_verified(pairs, sets, percent)))
+    discard(pairs, sets, own, texts)
 
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("key").alias("name")).join(
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("name")).join(
         roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("name").alias("component"))
     classes = classes.join(names, "root").select("cls", "root", "component")
-    out = signed.select("key", "rk", F.col("n").alias("n_shingles"), "cls").join(classes, "cls", "left")
+    out = rows.select("key", "rk", F.col("n").alias("n_shingles"), "cls").join(classes, "cls", "left")
     return out.select(F.col("key").alias(key), "rk", "n_shingles", "cls",
                       F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"), "root")
 
@@ -278,7 +284,9 @@ def _shingle_sets(df: DataFrame, key: str, text: str, texts: DataFrame, pairs: D
     bloom = build_level(keys.select(ident.alias("key")), 0, 0, 0.5, n_bits=BLOOM_BITS)
     rows = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("rk"), F.col(text).alias("text"))
     rows = null_safe(rows.where(passes(ident, 0, bloom))).join(null_safe(keys), ["_k", "_null", "rk"], "left_semi")
-    return landed(shingle_rows(rows.groupBy("_k", "_null", "rk").agg(F.first("text").alias("text")), size), "shingles")
+    out = landed(shingle_rows(rows.groupBy("_k", "_null", "rk").agg(F.first("text").alias("text")), size), "shingles")
+    discard(keys)
+    return out
 
 
 def keep_one(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
