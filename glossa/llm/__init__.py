@@ -1,4 +1,4 @@
-"""Operators for large training-data pipelines: ten operators and the queries
+"""Operators for large training-data pipelines: thirteen operators and the queries
 that apply them. Nothing else in the library imports this subpackage.
 
 Functions of this subpackage that run inside tasks are serialised by value, so
