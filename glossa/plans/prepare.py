@@ -16,6 +16,7 @@ from glossa.functions.labels import one_hot
 from glossa.functions.stopwords import ENGLISH_STOP_WORDS
 from glossa.operators import encode as E
 from glossa.operators import labels as OL
+from glossa.operators import lemmas as LM
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
@@ -25,14 +26,16 @@ def prepare_hierarchical(corpus: DataFrame, max_sentences: int = 40, max_words:
                          max_features: int = 200000, seed: int = 42,
                          fractions: tuple[float, float, float] = (0.8, 0.1, 0.1),
                          stop_words: Iterable[str] | None = ENGLISH_STOP_WORDS,
-                         lemma_table: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+                         lemma_table: DataFrame | None = None, vocab: DataFrame | None = None,
+                         lemmas: bool = False) -> DataFrame:
     """(doc_id, split, code, y, x) from a ``(doc_id, label, text)`` corpus.
 
     clean -> class codes -> vocabulary over the whole corpus (or a stored one)
     -> stratified split on the code -> ``x`` id matrices, ``y`` one-hot.
     Only ``(doc_id, label)`` goes through the split's rank (and its
     checkpoint); the text is read once for tokens, which feed both the
-    vocabulary and the matrices.
+    vocabulary and the matrices. ``lemmas`` derives the lemma table from the
+    corpus's own words (:mod:`glossa.operators.lemmas`); ``lemma_table`` brings one.
     """
     keys = corpus.select("doc_id", "label")
     classes = OL.class_table(keys)
@@ -40,7 +43,10 @@ def prepare_hierarchical(corpus: DataFrame, max_sentences: int = 40, max_words:
     split = SP.stratified_split(coded, *fractions, seed=seed)
     markers = split.select("doc_id", "split", "code", F.when(F.col("code").isNotNull(),
                                                             one_hot("code", "n_classes")).alias("y"))
-    toks = tok.lemmatize(tok.clean_tokens(corpus, stop_words=stop_words), lemma_table)
+    toks = tok.clean_tokens(corpus, stop_words=stop_words)
+    if lemmas and lemma_table is None:
+        lemma_table = LM.lemma_table(toks)
+    toks = tok.lemmatize(toks, lemma_table)
     vcap = V.capped(vocab, max_features) if vocab is not None else V.vocab_topk(toks, max_features)
     return E.doc_matrix(markers, toks, vcap, max_sentences, max_words, carry=["split", "code", "y"]) \
         .select("doc_id", "split", "code", "y", "x")
