@@ -21,7 +21,7 @@ FLAGSHIP = "prepare_hierarchical"
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 _MODULES = ("text", "vocab", "labels", "splits", "encode", "metrics", "vectors",
-            "explain", "models", "io", "streams", "lemmas", "staged", "epochs", "sentences")
+            "explain", "models", "io", "streams", "lemmas", "staged", "epochs", "sentences", "leave_one_out")
 
 
 def register(name: str, sql: str | None = None):
