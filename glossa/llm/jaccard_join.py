@@ -5,11 +5,14 @@ Texts whose sets of word shingles have a Jaccard similarity of at least
 
 *Tokens.* The matrix's tokens are segments of a text's shingle set. With
 similarity t, two sets of sizes a and b differ in at most D = (a+b)(1-t)/(1+t)
-shingles; so if both are cut, by ranges of the shingle hash, into D + 1
-segments, at least one segment is the same in both. A segment token is the hash
-of a segment's shingles; unlike a single shingle, a sentence that many texts
-share does not make it common. Sizes are dealt into bands, which fix D; a text
-that can match a smaller band has tokens there, too.
+shingles; so if both are cut, by ranges of the shingle hash, into more than D
+segments, at most D of them differ. Of its segments a set names those of w or
+more shingles, w as large as it can be with more than D of them left. Of two
+linked sets the one with the larger w so has a segment of w or more that is the
+same in the other, and both name it. A segment token is the hash
+of a segment's shingles; empty segments, which unrelated sets have in common, are so hardly ever named,
+those of a single shingle less, and a sentence that many texts share seldom makes a token common. Sizes are dealt into bands, which fix D; a text
+that can match smaller bands has tokens there, too.
 
 *Groups.* Tokens of one text only are dropped. Of the texts with a token, the
 one that shares most leads; each text joins the group of its best leader.
@@ -49,6 +52,7 @@ from glossa.llm.components import connected_components
 from glossa.llm.url_filter import build_level, passes
 
 BAND = 1.5
+SPARE = 1.25 # segments a set is cut into, times those that must be named
 SKETCH_WORDS = 16
 BLOOM_BITS = 1 << 20
 MEMO_ENTRIES = 400_000
@@ -89,38 +93,45 @@ def shingle_set(raw: bytes, size: int, memo: WordMemo) -> np.ndarray:
 
 
 class Bands:
-    """Size bands, and in each the number of segments and their hash ranges."""
+    """Size bands, and in each the differences allowed and the hash ranges of the segments."""
 
     def __init__(self, percent: int):
-        self.percent, self.starts, self.edges = percent, [1, 2], {}
+        self.percent, self.starts, self.cuts = percent, [1, 2], {}
 
     def of(self, n: int) -> list[int]:
-        """Bands in which a set of size ``n`` has tokens: its own, and the one
-        below if sets there can be similar."""
+        """Bands in which a set of size ``n`` has tokens: its own, and those
+        below in which sets can be similar."""
         while self.starts[-1] <= n:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * BAND)))
         own = int(np.searchsorted(self.starts, n, side="right")) - 1
-        below = own > 0 and 100 * (self.starts[own] - 1) >= self.percent * n
-        return [own, own - 1] if below else [own]
-
-    def ranges(self, band: int) -> np.ndarray:
-        """Upper edges of the hash ranges of a band's segments, without the last."""
-        if band not in self.edges:
+        out = [own]
+        while out[-1] > 0 and 100 * (self.starts[out[-1]] - 1) >= self.percent * n:
+            out.append(out[-1] - 1)
+        return out
+
+    def ranges(self, band: int) -> tuple[int, np.ndarray]:
+        """How many shingles may differ, and the upper edges of the segments'
+        hash ranges without the last."""
+        if band not in self.cuts:
             top = self.starts[band + 1] - 1  # largest size whose own band it is
             most = top + top * 100 // self.percent
-            n = most * (100 - self.percent) // (100 + self.percent) + 1
-            self.edges[band] = np.array([(i * 2 ** 64) // n for i in range(1, n)], np.uint64)
-        return self.edges[band]
+            differ = most * (100 - self.percent) // (100 + self.percent)
+            n = int(SPARE * differ) + 1
+            self.cuts[band] = differ, np.array([(i * 2 ** 64) // n for i in range(1, n)], np.uint64)
+        return self.cuts[band]
 
 
 def segment_tokens(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles * _K2), dtype=np.uint64)])
     out = []
     for band in bands.of(len(shingles)):
-        cuts = np.concatenate([[0], np.searchsorted(shingles, bands.ranges(band)), [len(shingles)]])
-        part = np.arange(len(cuts) - 1, dtype=np.uint64)
+        differ, edges = bands.ranges(band)
+        cuts = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
+        widths = np.diff(cuts)
+        least = np.partition(widths, len(widths) - 1 - differ)[len(widths) - 1 - differ]
+        part = np.flatnonzero(widths >= least)
         salt = np.uint64(xxhash.xxh3_64_intdigest(str(band)))
-        out.append(mix((sums[cuts[1:]] - sums[cuts[:-1]]) * _K1 + part * _K2 + salt))
+        out.append(mix((sums[cuts[part + 1]] - sums[cuts[part]]) * _K1 + part.astype(np.uint64) * _K2 + salt))
     return np.concatenate(out)
 
 
@@ -225,13 +236,14 @@ def _rooted(df: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     """:func:`components`, and ``root``: a class of the component, null keys only or not."""
     signed = landed(signatures(df, key, text, size, percent), "signatures")
     named = signed.where(F.col("cls").isNotNull())
-    tokens = named.select("cls", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("share"), F.min("cls").alias("c0"),
-                                         F.max("cls").alias("c1")).where("c0 <> c1").select("token", "share")
-    matrix = landed(tokens.join(shared, "token").groupBy("token", "cls").agg(F.max("share").alias("share")), "matrix")
+    # one shuffle by token, read by the count of classes, the join and the distinct rows
+    tokens = named.select("cls", F.explode("tokens").alias("token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("token")
+    matrix = landed(tokens.join(shared, "token").distinct().select("token", "cls"), "matrix")
 
     # one group for each text: the text that shares most leads
-    weight = matrix.groupBy("cls").agg(F.sum("share").alias("weight"))
+    share = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("share"))
+    weight = matrix.join(share, "token").groupBy("cls").agg(F.sum("share").alias("weight"))
     weighed = matrix.join(weight, "cls").select("token", "cls", F.struct("weight", "cls").alias("w"))
     leaders = weighed.groupBy("token").agg(F.max("w").alias("leader"))
     groups = weighed.join(leaders, "token").groupBy("cls").agg(F.max("leader").alias("leader")).select(

@@ -126,6 +126,20 @@ def test_segments_keep_the_pigeonhole_promise():
                 assert differ <= len(a) + len(b) - 2 * both
 
 
+def test_unrelated_sets_share_no_segments():
+    """Unrelated sets name no empty segments, which they would have in common."""
+    import numpy as np
+    from collections import Counter
+
+    rng = np.random.default_rng(11)
+    bands = jaccard_join.Bands(80)
+    shares = Counter()
+    for _ in range(3000):
+        own = rng.integers(0, 2 ** 63, int(rng.integers(150, 200)), dtype=np.uint64)
+        shares.update(jaccard_join.segment_tokens(np.unique(own) * np.uint64(2), bands).tolist())
+    assert sum(n * (n - 1) // 2 for n in shares.values()) < 3000
+
+
 def test_line_dedup(spark, docs, odd_rows):
     rng = random.Random(9)
     line = " ".join(f"token{rng.randrange(10 ** 6)}" for _ in range(300))
