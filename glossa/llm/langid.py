@@ -7,9 +7,9 @@ margin does not shrink with the text's length. The language whose dictionary giv
 smallest sum is predicted, and the
 prediction is rejected where the margin to the next language is narrow.
 
-The sample is bounded by :data:`SAMPLE_ROWS` rows a language, of which each
-gives at most :data:`SAMPLE_CHARS` characters, whatever the corpus's size; it
-is chosen by a hash of key and text. The dictionaries
+The sample is bounded by :data:`SAMPLE_ROWS` texts a language, whatever the corpus's size,
+chosen among its distinct texts by their hash. Each gives an equal share of the dictionary, a piece
+that may lie anywhere in the text: its place is drawn from the hash, too. The dictionaries
 (:data:`DICTIONARY_BYTES` each, at most :data:`MAX_LANGUAGES`) are broadcast.
 Prediction is map-only and sees nothing but the text.
 
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from glossa.llm.common import slices, text_bytes
 
 SAMPLE_ROWS = 128
-SAMPLE_CHARS = 1024
 DICTIONARY_BYTES = 64 << 10
 MAX_LANGUAGES = 400
 PIECE_BYTES = 16 << 10
@@ -40,27 +39,31 @@ UNKNOWN = "und"
 
 
 def learn(df: DataFrame, key: str, text: str, lang: str, where: Column | None = None) -> dict[str, bytes]:
-    """Dictionary content by language, from the labelled rows for which ``where`` holds."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
+    """Dictionary content by language, from the labelled rows for which ``where`` holds (``key`` is
+    not read: texts are sampled, not rows, so repeated rows change nothing)."""
+    rows = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
                      (F.lit(True) if where is None else where).alias("use"))
     rows = rows.where(F.col("use") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).limit(
         MAX_LANGUAGES + 1).collect()}
     if not counts:
         return {}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # about twice the rows that are used, by hash; the driver takes the first SAMPLE_ROWS of each language
+    # about twice the texts that are used, by hash; the driver takes the first SAMPLE_ROWS of each language
     share = F.create_map(*[x for lng, n in sorted(counts.items()) for x in (F.lit(lng), F.lit(2 * SAMPLE_ROWS / n))])
-    h = F.shiftrightunsigned(F.xxhash64("key", "text"), 11)
-    sample = rows.withColumn("h", h).where(F.col("h") * F.lit(2.0 ** -53) < F.element_at(share, F.col("lang"))).select(
-        "lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect()
+    chars = F.create_map(*[x for lng, n in sorted(counts.items()) for x in (
+        F.lit(lng), F.lit(DICTIONARY_BYTES // min(n, SAMPLE_ROWS)))])
+    h = F.shiftrightunsigned(F.xxhash64("text"), 11)
+    rows = rows.withColumn("h", h).where(F.col("h") * F.lit(2.0 ** -53) < F.element_at(share, F.col("lang")))
+    wide = F.element_at(chars, F.col("lang"))
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int") + 1
+    sample = rows.select("lang", "h", F.substring(F.col("text"), at, wide).alias("piece")).distinct().collect()
     out = {}
     for lng in sorted(counts):
-        texts = [t for _, t in sorted((r["h"], r["text"]) for r in sample if r["lang"] == lng)][:SAMPLE_ROWS]
-        each = max(64, DICTIONARY_BYTES // max(1, len(texts)))
-        content = b"\n".join(t.lower().encode()[:each] for t in texts)
-        out[lng] = content[-DICTIONARY_BYTES:]
+        pieces = [p for _, p in sorted((r["h"], r["piece"]) for r in sample if r["lang"] == lng)][:SAMPLE_ROWS]
+        each = DICTIONARY_BYTES // max(1, len(pieces))
+        out[lng] = b"\n".join(p.lower().encode()[:each] for p in pieces)[-DICTIONARY_BYTES:]
     return out
 
 

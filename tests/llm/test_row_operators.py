@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glossa.llm import bpe, chat, decontam, langid, quality_model, quality_rules
-from glossa.llm.queries import tokenizer
+from glossa.llm.common import is_held_out
+from glossa.llm.queries import QUERIES, tokenizer
 
 CONTROL = st.lists(st.sampled_from([*"\\<>[]/!s INTRUASWE\n", "</s>", "[INST]", " [/INST]", "[TURN x]", " </s>"]), max_size=30).map("".join)
 
@@ -164,6 +166,41 @@ def test_language_id(spark, docs, odd_rows, sf):
     assert {r["lang_pred"] for r in langid.identify(docs(odd_rows), "doc_id", "text", {}).collect()} == {"und"}
 
 
+def test_language_of_held_out_rows(spark, sf):
+    """Held-out rows are told right, and the query's rows equal predictions made one by one."""
+    out = {r["doc_id"]: r for r in QUERIES["op9_language_id"](spark, sf).collect()}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = table.select("doc_id", "text", "lang").collect()
+    assert len(out) == len(rows)
+    held = [r for r in rows if out[r["doc_id"]]["held_out"] and r["lang"] and r["text"]]
+    assert len(held) >= 40 and np.mean([out[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.9
+    learnt = langid.learn(table, "doc_id", "text", "lang", ~is_held_out(F.col("doc_id")))
+    names, sizes_of = langid.compressors(learnt)
+    letter = re.compile(r"[^\W\d_]").search
+    for r in rows[:200]:
+        lang, score, rejected = langid.predict((r["text"] or "").encode(), names, sizes_of, letter, langid.MIN_MARGIN)
+        assert (lang, score, rejected) == tuple(out[r["doc_id"]][c] for c in ("lang_pred", "score", "rejected"))
+
+
+def test_language_samples_are_of_distinct_whole_texts(spark, sf):
+    """Copies do not displace other texts, and pieces come from all places of a text."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null").select(
+        "doc_id", "text", "lang")
+    copies = table.unionByName(table.orderBy("doc_id").limit(1).crossJoin(spark.range(500)).drop("id"))
+    assert langid.learn(copies, "doc_id", "text", "lang") == langid.learn(table, "doc_id", "text", "lang")
+    texts = [("".join(f"w{n:02d}p{i:05d} " for i in range(4000)), "xx") for n in range(60)]
+    learnt = langid.learn(spark.createDataFrame([(0, t, g) for t, g in texts], "doc_id long, text string, lang string"),
+                          "doc_id", "text", "lang")
+    places = [int(x) for x in re.findall(r"p(\d{5})", learnt["xx"].decode())]
+    assert min(places) < 800 and max(places) > 3200 and 1000 < np.mean(places) < 3000
+    # ties go to the language that sorts first; equal texts in two languages teach the same
+    tied = langid.learn(spark.createDataFrame([(1, "same words here", g) for g in ("b", "a")],
+                                              "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    out = langid.identify(table.limit(5), "doc_id", "text", tied).collect()
+    assert tied["a"] == tied["b"] and {(r["lang_pred"], r["score"], r["rejected"]) for r in out} == {("a", 0.0, True)}
+    assert langid.identify(table.limit(0), "doc_id", "text", learnt).count() == 0
+
+
 def test_language_of_long_texts(spark, docs, sf):
     """Clean texts of several MB are not rejected for their length."""
     table = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null")
