@@ -7,8 +7,10 @@ as a window are hashed (all at once, with numpy); a hash that is in the set is
 then verified word by word. Hits are reported, or their spans or documents
 removed.
 
-The benchmark is measured before it is broadcast. Above
-:data:`MAX_BROADCAST_BYTES` it is dealt by item into as many parts as it needs,
+The benchmark is measured before it is broadcast. Its tables take some 55 times
+its text in memory, on the driver and in each worker, so that a part of
+:data:`MAX_BROADCAST_BYTES` of text comes to about 220 MB. Above that it is dealt
+by item into as many parts as it needs (a single item is not divided),
 and the documents are scanned once per part, with the hits so far written to
 the shared folder between the scans: the same result with bounded memory.
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import landed, slices, text_bytes
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 4 << 20  # of benchmark text in a part; its tables take about 55 times that
 _HIT_COLUMNS = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 # Every ASCII byte that is no word character becomes a blank, capitals small.
