@@ -63,11 +63,32 @@ tid AS (SELECT tk.doc_id, tk.sent_pos,
 tv AS (SELECT t.doc_id, t.sent_pos, t.word_pos, t.idx, vv.vec FROM tid t JOIN vv ON t.idx = vv.idx)"""
 
 
+def known_ids(toks, vcap):
+    return E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True)
+
+
 def tok_vecs(spark, d):
     toks = C.clean_tokens(spark, d)
     vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
-    ids = E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True)
-    return PL.token_vectors(ids, vv)
+    return PL.token_vectors(known_ids(toks, vcap), vv)
+
+
+def word_vecs(spark, d, u=None):
+    """(doc_id, sent_pos, idx, vec) of all known words, without their positions: nothing is sorted or
+    shuffled. With a context vector ``u`` also ``score``, computed once a word of the vocabulary."""
+    toks = C.clean_tokens(spark, d)
+    vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)[1]
+    if u is not None:
+        vv = vv.withColumn("score", PL.attention_score(F.col("vec"), u))
+    return toks.select("doc_id", "sent_pos", "word").join(bounded_broadcast(vv.where(F.col("word").isNotNull())), "word").drop("word")
+
+
+def tok_scores(spark, d, u):
+    """(doc_id, sent_pos, word_pos, score): the attention score is looked up by word, no vectors on token rows."""
+    toks = C.clean_tokens(spark, d)
+    vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
+    scored = bounded_broadcast(vv.select("idx", PL.attention_score(F.col("vec"), u).alias("score")))
+    return known_ids(toks, vcap).join(scored, "idx").drop("idx")
 
 
 @register("token_vectors", sql=f"WITH {TV_SQL}\nSELECT doc_id, sent_pos, word_pos, idx, vec FROM tv")
@@ -75,6 +96,12 @@ def token_vectors(spark, d):
     return tok_vecs(spark, d)
 
 
+def max_pooled(spark, d):
+    """(doc_id, pooled) for every document."""
+    dim = dim_of(spark, d)
+    return PL.keep_documents(PL.max_pool(word_vecs(spark, d), dim=dim), C.docs(spark, d), dim, "pooled")
+
+
 @register("doc_max_pool", sql=f"""WITH {TV_SQL},
 dims AS (SELECT doc_id, unnest(range(len(vec))) AS i, unnest(vec) AS v FROM tv),
 mx AS (SELECT doc_id, i, max(v) AS v FROM dims GROUP BY doc_id, i),
@@ -82,7 +109,7 @@ mp AS (SELECT doc_id, list(v ORDER BY i) AS pooled FROM mx GROUP BY doc_id)
 SELECT d.doc_id, coalesce(mp.pooled, {_zero_sql('(SELECT d FROM dim)')}) AS pooled
 FROM documents d LEFT JOIN mp ON mp.doc_id = d.doc_id""")
 def doc_max_pool(spark, d):
-    return PL.keep_documents(PL.max_pool(tok_vecs(spark, d)), C.docs(spark, d), dim_of(spark, d), "pooled")
+    return max_pooled(spark, d)
 
 
 def _u_sql(vec_id: int) -> str:
@@ -102,8 +129,7 @@ ts AS (SELECT doc_id, sent_pos, word_pos, vec, {_score_sql('vec', _u_sql(0))} AS
 SELECT doc_id, sent_pos, word_pos,
        round(exp(score) / (sum(exp(score)) OVER (PARTITION BY doc_id, sent_pos) + 1e-7), 6) AS weight FROM ts""")
 def attention_weights(spark, d):
-    tv = tok_vecs(spark, d).withColumn("score", PL.attention_score(F.col("vec"), context_vector(spark, d, 0)))
-    w = PL.attention_weights(tv, ["doc_id", "sent_pos"])
+    w = PL.attention_weights(tok_scores(spark, d, context_vector(spark, d, 0)), ["doc_id", "sent_pos"])
     return w.select("doc_id", "sent_pos", "word_pos", F.round("weight", 6).alias("weight"))
 
 
@@ -111,8 +137,7 @@ def attention_weights(spark, d):
 SELECT doc_id, sent_pos, word_pos,
        round(exp(score) / (sum(exp(score)) OVER (PARTITION BY doc_id) + 1e-7), 6) AS weight FROM ts""")
 def attention_weights_doc(spark, d):
-    tv = tok_vecs(spark, d).withColumn("score", PL.attention_score(F.col("vec"), context_vector(spark, d, 0)))
-    w = PL.attention_weights(tv, ["doc_id"])
+    w = PL.attention_weights(tok_scores(spark, d, context_vector(spark, d, 0)), ["doc_id"])
     return w.select("doc_id", "sent_pos", "word_pos", F.round("weight", 6).alias("weight"))
 
 
@@ -130,6 +155,7 @@ SELECT p.doc_id, p.pos, coalesce(dv.v, 0.0::DOUBLE) AS value
 FROM places p LEFT JOIN dv ON dv.doc_id = p.doc_id AND dv.i = p.pos""")
 def attention_pool(spark, d):
     """One row for each document and dimension."""
-    out = PL.attention_pool(tok_vecs(spark, d), context_vector(spark, d, 0), context_vector(spark, d, 1))
+    u_word = context_vector(spark, d, 0)
+    out = PL.attention_pool(word_vecs(spark, d, u_word), u_word, context_vector(spark, d, 1))
     out = PL.keep_documents(out.select("doc_id", "doc_vec"), C.docs(spark, d), dim_of(spark, d), "doc_vec", "double")
     return out.select("doc_id", F.posexplode("doc_vec").alias("pos", "value"))

@@ -1,17 +1,16 @@
 """Word vectors on token rows, document pooling and attention weights.
 
-Vector-valued aggregates (element-wise max, weighted sums) use Spark ML's
-``Summarizer``: a JVM aggregate with partial aggregation in every task, so a
-document or sentence never has its vectors collected into one list and vector
-dimensions are never exploded into rows.
+Vector-valued aggregates (element-wise max, weighted sums) keep one built-in
+aggregate a dimension: a hash aggregate with buffers of fixed width, combined in
+every task. A document or sentence never has its vectors collected into one list,
+dimensions are never exploded into rows, and no row with a vector is sorted,
+spilled or shuffled: only a group's result is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +20,28 @@ KERAS_EPSILON = 1e-7
 
 
 def token_vectors(token_ids: DataFrame, vocab_vec: DataFrame) -> DataFrame:
-    """(doc_id, sent_pos, word_pos, idx, vec): embedding lookup by id."""
+    """(doc_id, sent_pos, word_pos, idx, vec): embedding lookup by id. Rows are
+    ordered by id before they get their vectors, in each partition: equal vectors
+    written side by side compress to little."""
     v = bounded_broadcast(vocab_vec.select("idx", "vec"))
-    return token_ids.join(v, "idx").select("doc_id", "sent_pos", "word_pos", "idx", "vec")
+    # always true, but not deterministic: the optimizer drops an order right below a join
+    ordered = token_ids.sortWithinPartitions("idx").where(F.monotonically_increasing_id() >= 0)
+    return ordered.join(v, "idx").select("doc_id", "sent_pos", "word_pos", "idx", "vec")
+
+
+def dimension(vectors: DataFrame, vec: str) -> int:
+    return int(vectors.agg(F.coalesce(F.max(F.size(vec)), F.lit(0))).first()[0])
 
 
 def max_pool(vectors: DataFrame, key: str | Sequence[str] = "doc_id", vec: str = "vec",
-             dtype: str = "float32") -> DataFrame:
-    """(key..., pooled): element-wise maximum of the group's vectors."""
+             dtype: str = "float32", dim: int | None = None) -> DataFrame:
+    """(key..., pooled): element-wise maximum of the group's vectors, which have
+    ``dim`` elements (read from the rows if not given)."""
     keys = [key] if isinstance(key, str) else list(key)
-    agg = vectors.groupBy(*keys).agg(Summarizer.max(array_to_vector(F.col(vec))).alias("_mx"))
-    return agg.select(*keys, vector_to_array("_mx", dtype).alias("pooled"))
+    dim = dimension(vectors, vec) if dim is None else dim
+    agg = vectors.groupBy(*keys).agg(F.count(F.lit(1)), *[F.max(F.get(vec, F.lit(i))).alias(f"_m{i}") for i in range(dim)])
+    kind = "float" if dtype == "float32" else "double"
+    return agg.select(*keys, F.array(*[f"_m{i}" for i in range(dim)]).cast(f"array<{kind}>").alias("pooled"))
 
 
 def keep_documents(pooled: DataFrame, docs: DataFrame, dim: int, name: str, dtype: str = "float") -> DataFrame:
@@ -41,10 +51,14 @@ def keep_documents(pooled: DataFrame, docs: DataFrame, dim: int, name: str, dtyp
     return docs.select("doc_id").join(pooled, "doc_id", "left").select("doc_id", F.coalesce(name, zero).alias(name))
 
 
-def weighted_sum(vectors: DataFrame, keys: Sequence[str], vec: str, weight: str, name: str) -> DataFrame:
-    """(keys..., name): ``sum(weight * vec)`` per group (array<double>)."""
-    s = Summarizer.metrics("sum").summary(array_to_vector(F.col(vec)), F.col(weight))
-    return vectors.groupBy(*keys).agg(s.alias("_ws")).select(*keys, vector_to_array("_ws.sum").alias(name))
+def attended(scored: DataFrame, keys: Sequence[str], vec: str, name: str, dim: int,
+             eps: float = KERAS_EPSILON) -> DataFrame:
+    """(keys..., name): the group's vectors, summed with the weights of
+    :func:`attention_weights`: ``sum(exp(score) * vec) / (sum(exp(score)) + eps)``."""
+    each = scored.withColumn("_e", F.exp("score"))
+    sums = each.groupBy(*keys).agg(F.sum("_e").alias("_t"), *[
+        F.sum(F.col("_e") * F.get(vec, F.lit(i))).alias(f"_s{i}") for i in range(dim)])
+    return sums.select(*keys, F.array(*[F.col(f"_s{i}") / (F.col("_t") + F.lit(eps)) for i in range(dim)]).alias(name))
 
 
 def dot(a: Column, b: Sequence[float]) -> Column:
@@ -78,9 +92,9 @@ def attention_pool(tok_vecs: DataFrame, u_word: Sequence[float], u_sent: Sequenc
     """(doc_id, doc_vec): two-level attention pooling. Word scores
     ``u_word . tanh(h)`` -> weights within the sentence -> weighted sentence
     vectors -> sentence scores ``u_sent . tanh(s)`` -> weights within the
-    document -> weighted document vector."""
-    words = attention_weights(tok_vecs.withColumn("score", attention_score(F.col("vec"), u_word)),
-                              ["doc_id", "sent_pos"], eps=eps)
-    sents = weighted_sum(words, ["doc_id", "sent_pos"], "vec", "weight", "svec")
-    sents = attention_weights(sents.withColumn("score", attention_score(F.col("svec"), u_sent)), ["doc_id"], eps=eps)
-    return weighted_sum(sents, ["doc_id"], "svec", "weight", "doc_vec")
+    document -> weighted document vector. A word's score depends on its vector
+    only: ``tok_vecs`` may bring it along as ``score``."""
+    words = tok_vecs if "score" in tok_vecs.columns else tok_vecs.withColumn("score", attention_score(F.col("vec"), u_word))
+    sents = attended(words, ["doc_id", "sent_pos"], "vec", "svec", len(u_word), eps)
+    sents = sents.withColumn("score", attention_score(F.col("svec"), u_sent))
+    return attended(sents, ["doc_id"], "svec", "doc_vec", len(u_sent), eps)
