@@ -4,7 +4,9 @@ The pooled vector of a document without one of its words is known from two
 numbers a dimension: the largest value, and the largest one below it, with how many
 words reach the largest. A word takes away from a dimension only what it alone
 holds up. So every word of a document is left out at once, without pooling again:
-two vector aggregates (``Summarizer``) over one shuffle by document.
+two aggregates by document over its distinct word ids, which are written once. Vectors
+are looked up by id (broadcast below a measured size) where they are used, so no row
+with a vector is sorted, spilled or shuffled.
 
 Defined results: all occurrences of a word are left out together; words with
 equal vectors hold each other up; a document of one word has the zero vector
@@ -13,24 +15,35 @@ without it; documents without words give no rows.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.joins import bounded_broadcast
+from glossa.operators.pooling import dimension, max_pool
+from glossa.session import materialize
 
-def words_with_top_two(vectors: DataFrame) -> DataFrame:
+
+def words_with_top_two(words: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """``(doc_id, idx, vec, top, second, n_top, n_words)`` of each document's distinct
-    words, from token rows ``(doc_id, idx, vec)``; ``second`` is the largest value below ``top``."""
-    words = vectors.repartition("doc_id").groupBy("doc_id", "idx").agg(F.first("vec").cast("array<double>").alias("vec"))
-    top = words.groupBy("doc_id").agg(Summarizer.max(array_to_vector("vec")).alias("m"), F.count(F.lit(1)).alias("n_words"))
-    both = words.join(top.select("doc_id", vector_to_array("m").alias("top"), "n_words"), "doc_id")
-    below = F.zip_with("vec", "top", lambda v, t: F.when(v < t, v).otherwise(F.lit(float("-inf"))))
-    at_top = F.zip_with("vec", "top", lambda v, t: (v == t).cast("double"))
-    more = both.select("doc_id", array_to_vector(below).alias("below"), array_to_vector(at_top).alias("at_top")).groupBy("doc_id").agg(
-        Summarizer.max(F.col("below")).alias("second"), Summarizer.metrics("sum").summary(F.col("at_top")).alias("sums"))
-    more = more.select("doc_id", vector_to_array("second").alias("second"), vector_to_array("sums.sum").alias("n_top"))
-    return both.join(more, "doc_id")
+    words, from token rows ``(doc_id, idx)`` and ``vectors(idx, vec)`` (if not given, token rows
+    have a ``vec``); ``second`` is the largest value below ``top``."""
+    vectors = (words if vectors is None else vectors).select("idx", "vec").dropDuplicates(["idx"])
+    vectors = bounded_broadcast(vectors.select("idx", F.col("vec").cast("array<double>").alias("vec")))
+    dim = dimension(vectors, "vec")
+    docs = materialize(words.select("doc_id", "idx").distinct().groupBy("doc_id").agg(F.collect_list("idx").alias("ids")))
+
+    def said(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("idx", F.explode("ids")).drop("ids").join(vectors, "idx")
+
+    top = max_pool(said(docs), dtype="float64", dim=dim).withColumnRenamed("pooled", "top")
+    both = materialize(docs.join(top, "doc_id"))
+    v, t = ([F.get(c, F.lit(i)) for i in range(dim)] for c in ("vec", "top"))
+    more = said(both).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_words"), *[F.max(F.when(v[i] < t[i], v[i])).alias(f"s{i}") for i in range(dim)],
+        *[F.sum((v[i] == t[i]).cast("double")).alias(f"n{i}") for i in range(dim)])
+    more = more.select("doc_id", "n_words", F.array(*[F.coalesce(f"s{i}", F.lit(float("-inf"))) for i in range(dim)]).alias("second"),
+                       F.array(*[f"n{i}" for i in range(dim)]).alias("n_top"))
+    return said(both.join(more, "doc_id"))
 
 
 def pooled_without(words: DataFrame) -> DataFrame:
@@ -41,8 +54,8 @@ def pooled_without(words: DataFrame) -> DataFrame:
     return words.select("doc_id", "idx", "top", F.when(F.col("n_words") == 1, none).otherwise(left).alias("pooled"))
 
 
-def importance(vectors: DataFrame) -> DataFrame:
+def importance(words: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """``(doc_id, idx, importance)``: how much of the rectified pooled vector's sum goes with the word."""
     lost = F.zip_with("top", "pooled", lambda t, p: F.greatest(t, F.lit(0.0)) - F.greatest(p, F.lit(0.0)))
-    return pooled_without(words_with_top_two(vectors)).select(
+    return pooled_without(words_with_top_two(words, vectors)).select(
         "doc_id", "idx", F.aggregate(lost, F.lit(0.0), lambda a, x: a + x).alias("importance"))
