@@ -16,12 +16,11 @@ from glossa import sqltext as S
 from glossa.catalog import register
 from glossa.catalog.metrics import report_sql
 from glossa.catalog.sqlparts import coded_cte, stratified_cte
-from glossa.catalog.vectors import dim_of, tok_vecs
+from glossa.catalog.vectors import max_pooled
 from glossa.operators import bayes as NB
 from glossa.operators import labels as OL
 from glossa.operators import metrics as MT
 from glossa.operators import models as MD
-from glossa.operators import pooling as PL
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 from glossa.operators.joins import bounded_broadcast
@@ -56,7 +55,7 @@ def train_text_classifier(spark, d):
 
 def pooled_data(spark, d):
     data, classes = split_corpus(spark, d)
-    pooled = PL.keep_documents(PL.max_pool(tok_vecs(spark, d)), C.docs(spark, d), dim_of(spark, d), "pooled")
+    pooled = materialize(max_pooled(spark, d))  # read by the fit and by the predictions
     feats = MD.pooled_features(pooled).join(data.select("doc_id", "label", "split"), "doc_id")
     return feats, classes
 
