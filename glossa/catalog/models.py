@@ -55,8 +55,7 @@ def train_text_classifier(spark, d):
 
 def pooled_data(spark, d):
     data, classes = split_corpus(spark, d)
-    pooled = materialize(max_pooled(spark, d))  # read by the fit and by the predictions
-    feats = MD.pooled_features(pooled).join(data.select("doc_id", "label", "split"), "doc_id")
+    feats = MD.pooled_features(max_pooled(spark, d)).join(data.select("doc_id", "label", "split"), "doc_id")
     return feats, classes
 
 
