@@ -66,18 +66,29 @@ def train_pooled_classifier(spark, d):
     return MD.predictions(model, feats.where(F.col("split") == SP.TEST))
 
 
+def words_of(spark, d, rows, *carry):
+    """Clean tokens of the documents that ``rows(doc_id, *carry)`` names, once a row, with the ``carry`` columns: texts
+    meet their rows before they are cut into words, so no others are cut and no words are joined."""
+    named = bounded_broadcast(rows.select("doc_id", *carry))
+    return tok.clean_tokens(C.docs(spark, d).join(named, "doc_id"), carry=carry)
+
+
+def scored(spark, d, model, rows):
+    """``rows`` with predictions, by the words of their documents only."""
+    return NB.predictions(model, words_of(spark, d, rows.select("doc_id").distinct()), rows)
+
+
 def fitted_bayes(spark, d):
-    """The model fitted on the train split, the corpus with codes and splits (no texts), all clean tokens, classes."""
+    """The model fitted on the train split, the corpus with codes and splits (no texts), classes."""
     data, classes = split_corpus(spark, d)
     rows = materialize(data.select("doc_id", F.col("label").cast("int").alias("label"), "split"))
-    tokens = tok.clean_tokens(C.docs(spark, d))
-    train = rows.where(F.col("split") == SP.TRAIN).select("doc_id", F.col("label").alias("code"))
-    return NB.fit(tokens, train, classes.count()), rows, tokens, classes
+    train = rows.where((F.col("split") == SP.TRAIN) & F.col("label").isNotNull()).select("doc_id", F.col("label").alias("code"))
+    return NB.fit(words_of(spark, d, train, "code"), train, classes.count()), rows, classes
 
 
 def bayes_predictions(spark, d, split=None):
-    model, rows, tokens, _ = fitted_bayes(spark, d)
-    return NB.predictions(model, tokens, rows if split is None else rows.where(F.col("split") == split))
+    model, rows, _ = fitted_bayes(spark, d)
+    return scored(spark, d, model, rows if split is None else rows.where(F.col("split") == split))
 
 
 BAYES_SQL = f"""{coded_cte("SELECT doc_id, lang AS label FROM documents")}, {stratified_cte()},
@@ -149,8 +160,8 @@ def evaluate_loss(spark, d):
 SELECT doc_id, b.code AS pred, c.name AS predicted_label, b.code + 1 AS display_label, score, probability
 FROM bayes b JOIN cls c ON c.code = b.code WHERE best""")
 def predict_docs(spark, d):
-    model, rows, tokens, classes = fitted_bayes(spark, d)
-    preds = NB.predictions(model, tokens, rows)
+    model, rows, classes = fitted_bayes(spark, d)
+    preds = NB.predictions(model, tok.clean_tokens(C.docs(spark, d)), rows)
     names = classes.select(F.col("code").alias("pred"), F.col("label").alias("predicted_label"))
     return preds.join(bounded_broadcast(names), "pred", "left").select(
         "doc_id", "pred", "predicted_label", (F.col("pred") + 1).alias("display_label"),
@@ -161,21 +172,21 @@ def predict_docs(spark, d):
 SELECT doc_id, label, code AS pred, score FROM bayes WHERE best AND split = 'test'""")
 def model_store(spark, d):
     """Saved, loaded and applied to the test split."""
-    model, rows, tokens, _ = fitted_bayes(spark, d)
+    model, rows, _ = fitted_bayes(spark, d)
     path = scratch_path(spark, "model")
     model.save(path)
-    preds = NB.predictions(NB.NaiveBayes.load(spark, path), tokens, rows.where(F.col("split") == SP.TEST))
+    preds = scored(spark, d, NB.NaiveBayes.load(spark, path), rows.where(F.col("split") == SP.TEST))
     return preds.select("doc_id", "label", "pred", F.get("scores", F.col("pred")).alias("score"))
 
 
 def _evidence(spark, d):
-    model, rows, tokens, classes = fitted_bayes(spark, d)
-    preds = materialize(NB.predictions(model, tokens, rows.where(F.col("split") == SP.TEST)))
-    return NB.word_evidence(model, tokens, preds), preds, classes
+    model, rows, classes = fitted_bayes(spark, d)
+    preds = materialize(scored(spark, d, model, rows.where(F.col("split") == SP.TEST)))
+    return NB.word_evidence(model, words_of(spark, d, preds, "pred"), preds), preds, classes
 
 
 def _tested_sentences(spark, d, preds):
-    return tok.sentence_table(C.docs(spark, d).join(preds.select("doc_id"), "doc_id"))
+    return tok.sentence_table(C.docs(spark, d).join(bounded_broadcast(preds.select("doc_id")), "doc_id"))
 
 
 @register("word_importance", sql=f"WITH {_EVIDENCE_SQL}\nSELECT doc_id, sent_pos, word_pos, word, importance FROM ev")
@@ -225,8 +236,8 @@ def distillation_set(spark, d):
     """Soft targets as the teacher's class scores (their softmax is its probabilities), null off the train split."""
     from glossa.plans.prepare import prepare_sequence
 
-    model, rows, tokens, _ = fitted_bayes(spark, d)
-    taught = NB.predictions(model, tokens, rows.where(F.col("split") == SP.TRAIN)).select(
+    model, rows, _ = fitted_bayes(spark, d)
+    taught = scored(spark, d, model, rows.where(F.col("split") == SP.TRAIN)).select(
         "doc_id", F.col("scores").alias("soft_scores"))
     prepared = prepare_sequence(C.corpus(spark, d, "lang"), C.MAX_LEN, C.MAX_FEATURES, seed=C.SEED)
     joined = prepared.drop("split").join(rows.select("doc_id", "split"), "doc_id")

@@ -11,7 +11,8 @@ engine, and so are predictions and word evidence.
 The model is a table ``(word, w array<bigint>)`` with one row a word and the
 priors, as many as classes. Counts are pre-aggregated in the tasks; scoring is
 one join on the word (broadcast below a measured size) and one aggregation by
-document, for which the tokens are dealt by document before.
+document. Tokens may bring their document's class code or prediction along, as
+joins of documents are less than joins of words.
 """
 
 from __future__ import annotations
@@ -58,12 +59,13 @@ class NaiveBayes:
 
 def fit(tokens: DataFrame, labels: DataFrame, n_classes: int) -> NaiveBayes:
     """Fit on ``tokens(doc_id, word)`` of the documents of ``labels(doc_id,
-    code)``; rows without a code are left out. Without any word the model is
-    its priors."""
+    code)``; rows without a code are left out. Tokens with a column ``code`` are
+    joined already. Without any word the model is its priors."""
     labels = labels.where(F.col("code").isNotNull()).select("doc_id", F.col("code").cast("int").alias("code"))
     per_class = {r["code"]: r["n"] for r in labels.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sum(per_class.values())
-    counted = tokens.select("doc_id", "word").join(labels, "doc_id").groupBy("word").agg(
+    coded = tokens.select("code", "word") if "code" in tokens.columns else tokens.select("doc_id", "word").join(labels, "doc_id")
+    counted = coded.groupBy("word").agg(
         F.array(*[F.sum((F.col("code") == c).cast("long")) for c in range(n_classes)]).alias("n"))
     counted = materialize(counted)
     totals = counted.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("n")[c]), F.lit(0)) for c in range(n_classes)]).first()
@@ -78,8 +80,8 @@ def fit(tokens: DataFrame, labels: DataFrame, n_classes: int) -> NaiveBayes:
 
 def scores(model: NaiveBayes, tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """``docs`` with ``scores array<bigint>``, one a class (in millionths of a natural logarithm)."""
-    said = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf")).join(bounded_broadcast(model.weights), "word")
-    sums = said.groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col("w")[c]).alias(f"_s{c}") for c in range(model.n_classes)])
+    said = tokens.select("doc_id", "word").join(bounded_broadcast(model.weights), "word")
+    sums = said.groupBy("doc_id").agg(*[F.sum(F.col("w")[c]).alias(f"_s{c}") for c in range(model.n_classes)])
     out = docs.join(sums, "doc_id", "left")
     total = [F.coalesce(f"_s{c}", F.lit(0)) + F.lit(p).cast("long") for c, p in enumerate(model.priors)]
     return out.select(*docs.columns, F.array(*total).alias("scores"))
@@ -99,8 +101,10 @@ def soft_targets(preds: DataFrame) -> DataFrame:
 
 def word_evidence(model: NaiveBayes, tokens: DataFrame, preds: DataFrame) -> DataFrame:
     """``tokens`` of known words with ``importance bigint``: the word's weight
-    in the predicted class less its largest weight in another class."""
-    met = tokens.join(bounded_broadcast(model.weights), "word").join(preds.select("doc_id", "pred"), "doc_id")
+    in the predicted class less its largest weight in another class. Tokens with
+    a column ``pred`` are joined with ``preds`` already."""
+    told = tokens if "pred" in tokens.columns else tokens.join(preds.select("doc_id", "pred"), "doc_id")
+    met = told.join(bounded_broadcast(model.weights), "word")
     rest = F.array_max(F.filter("w", lambda x, i: i != F.col("pred")))
     return met.select("doc_id", "sent_pos", "word_pos", "word",
                       (F.get("w", F.col("pred")) - F.coalesce(rest, F.lit(0))).alias("importance"))
