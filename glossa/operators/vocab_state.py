@@ -62,9 +62,7 @@ def merged_counts(spark: SparkSession, root: str) -> DataFrame:
         none = spark.createDataFrame([], "doc_id long, sent_pos int, word_pos int, word string")
         return V.word_counts(none)
     states = spark.read.parquet(*folders)
-    merged = states.groupBy("word").agg(
-        F.sum("n").alias("n"), F.min(F.struct("first_doc", "first_sent", "first_word")).alias("first"))
-    return merged.select("word", "n", "first.*")
+    return V.counted(states, F.sum("n"), "first_doc", "first_sent", "first_word")
 
 
 def ranked(spark: SparkSession, root: str) -> DataFrame:
