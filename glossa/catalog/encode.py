@@ -13,6 +13,7 @@ from glossa.operators import encode as E
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
+from glossa.session import landed
 
 M, K, F_ = C.MAX_SENTENCES, C.MAX_WORDS, C.MAX_FEATURES
 
@@ -93,13 +94,11 @@ seq AS (SELECT doc_id, CAST(list_resize(b, {max_len}, {E.PAD}) AS INTEGER[]) AS
         FROM body)"""
 
 
-def raw_capped_vocab(spark, d):
-    return V.vocab_topk(C.raw_tokens(spark, d), F_)
-
 
 @register("seq_encode", sql=f"WITH {seq_sql('sdocs AS (SELECT doc_id, text FROM documents)')}\nSELECT * FROM seq")
 def seq_encode(spark, d):
-    return E.sequence_encode(C.docs(spark, d), raw_capped_vocab(spark, d), C.MAX_LEN)
+    cut = landed(tok.cut_documents(C.docs(spark, d), stop_words=None), "cut")
+    return E.sequence_encode(cut, V.vocab_topk(tok.words_of(cut), F_), C.MAX_LEN)
 
 
 @register("prepare_sequence", sql=f"""

@@ -10,7 +10,7 @@ extra join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
@@ -64,10 +64,11 @@ def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,
     rows = known.unionByName(markers).repartition("doc_id")
     w = Window.partitionBy("doc_id", "sent_pos").orderBy("word_pos")
     kept = rows.withColumn("_kp", F.row_number().over(w)).where(F.col("sent_pos").isNull() | (F.col("_kp") <= k))
+    # position and id in one long: sorted as numbers, where structs are compared by an interpreted function
     per_sent = kept.groupBy("doc_id", "sent_pos").agg(
-        F.array_sort(F.collect_list(F.struct("_kp", "idx"))).alias("_ids"),
+        F.sort_array(F.collect_list(_placed("_kp", "idx"))).alias("_ids"),
         *[F.first(c, ignorenulls=True).alias(c) for c in carry])
-    padded = F.slice(F.concat(F.transform("_ids", lambda e: e["idx"]), F.array_repeat(F.lit(0), k)), 1, k)
+    padded = F.slice(F.concat(F.transform("_ids", _id_of), F.array_repeat(F.lit(0), k)), 1, k)
     per_sent = per_sent.select("doc_id", *carry, F.when(F.col("sent_pos").isNotNull(),
                                                         F.struct("sent_pos", padded.alias("row"))).alias("_r"))
     grouped = per_sent.groupBy("doc_id").agg(
@@ -78,11 +79,19 @@ def doc_matrix(docs: DataFrame, tokens: DataFrame, vocab_capped: DataFrame,
     return grouped.select("doc_id", *carry, x.alias("x"))
 
 
+def _placed(pos: str, idx: str) -> Column:
+    return F.shiftleft(F.col(pos).cast("long"), 32).bitwiseOR(F.col(idx).cast("long"))
+
+
+def _id_of(placed: Column) -> Column:
+    return placed.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def flat_word_positions(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """(doc_id, pos, word): contract words of the whole document in order
     (sentences flattened, stop words kept); only the first ``limit`` words are
-    exploded when given."""
-    flat = F.flatten(T.doc_words(text))
+    exploded when given. Cut documents (a column ``sents``) are not cut again."""
+    flat = F.flatten("sents" if "sents" in docs.columns else T.doc_words(text))
     if limit is not None:
         flat = F.slice(flat, 1, limit)
     return docs.select("doc_id", F.posexplode(flat).alias("pos", "word"))
@@ -95,23 +104,26 @@ def sequence_encode(docs: DataFrame, vocab_capped: DataFrame, max_len: int,
     ``max_len - 2`` word ids (unknown word -> UNK, vocabulary ids shifted past
     the reserved ones) + END, padded with PAD to ``max_len``; mask is 1 on real
     positions; token types are all 0. ``markers`` (doc_id + carry columns)
-    defaults to ``docs``; pass it to carry columns without carrying the text."""
+    defaults to ``docs``; pass it to carry columns without carrying the text.
+    ``docs`` may be cut documents (:func:`glossa.operators.tokens.cut_documents`, stop words kept)."""
     if max_len < 2:
         raise ValueError("max_len must leave room for BEGIN and END")
     carry = carry or []
     v = bounded_broadcast(vocab_capped.select("word", (F.col("idx") + (RESERVED - 1)).alias("_id")))
     words = flat_word_positions(docs, text, max_len - 2).join(v, "word", "left")
-    entries = words.select("doc_id", F.struct("pos", F.coalesce("_id", F.lit(UNK)).alias("id")).alias("_e"),
-                           *[F.lit(None).alias(c) for c in carry])
+    entries = words.withColumn("_id", F.coalesce("_id", F.lit(UNK))).select(
+        "doc_id", _placed("pos", "_id").alias("_e"), *[F.lit(None).alias(c) for c in carry])
     markers = (markers if markers is not None else docs).select(
-        "doc_id", F.lit(None).cast("struct<pos:int,id:int>").alias("_e"), *carry)
+        "doc_id", F.lit(None).cast("long").alias("_e"), *carry)
     for c in carry:
         entries = entries.withColumn(c, F.col(c).cast(markers.schema[c].dataType))
     grouped = entries.unionByName(markers).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("_e")).alias("_es"),
+        F.sort_array(F.collect_list("_e")).alias("_es"),
         *[F.first(c, ignorenulls=True).alias(c) for c in carry])
-    body = F.concat(F.array(F.lit(BEGIN)), F.transform("_es", lambda e: e["id"]), F.array(F.lit(END)))
-    padded = F.concat(body, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(body)))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda p: (p <= F.size(body)).cast("int"))
+    body = F.concat(F.array(F.lit(BEGIN)), F.transform("_es", _id_of), F.array(F.lit(END)))
+    # the length is told by the entries: a size of the body would make the body again for each position
+    n = F.size("_es") + 2
+    padded = F.concat(body, F.array_repeat(F.lit(PAD), F.lit(max_len) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), F.least(n, F.lit(max_len))), F.array_repeat(F.lit(0), F.lit(max_len) - n))
     return grouped.select("doc_id", *carry, padded.alias("ids"), mask.alias("mask"),
                           F.array_repeat(F.lit(0), max_len).alias("token_type_ids"))

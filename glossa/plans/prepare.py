@@ -20,6 +20,7 @@ from glossa.operators import lemmas as LM
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
+from glossa.session import landed
 
 
 def prepare_hierarchical(corpus: DataFrame, max_sentences: int = 40, max_words: int = 50,
@@ -43,7 +44,7 @@ def prepare_hierarchical(corpus: DataFrame, max_sentences: int = 40, max_words:
     split = SP.stratified_split(coded, *fractions, seed=seed)
     markers = split.select("doc_id", "split", "code", F.when(F.col("code").isNotNull(),
                                                             one_hot("code", "n_classes")).alias("y"))
-    toks = tok.clean_tokens(corpus, stop_words=stop_words)
+    toks = tok.words_of(landed(tok.cut_documents(corpus, stop_words=stop_words), "cut"))  # read up to three times
     if lemmas and lemma_table is None:
         lemma_table = LM.lemma_table(toks)
     toks = tok.lemmatize(toks, lemma_table)
@@ -62,10 +63,12 @@ def prepare_sequence(corpus: DataFrame, max_len: int = 128, max_features: int =
     split = SP.random_split(coded, 0.8, seed=seed)
     markers = split.select("doc_id", "split", F.when(F.col("code").isNotNull(),
                                                      one_hot("code", "n_classes")).alias("targets"))
+    docs = corpus.select("doc_id", "text")
     if vocab is None:
-        vocab = V.vocab_topk(tok.word_table(corpus, stop_words=None), max_features)
+        docs = landed(tok.cut_documents(corpus, stop_words=None), "cut")  # read twice
+        vocab = V.vocab_topk(tok.words_of(docs), max_features)
     else:
         vocab = V.capped(vocab, max_features)
-    enc = E.sequence_encode(corpus.select("doc_id", "text"), vocab, max_len,
+    enc = E.sequence_encode(docs, vocab, max_len,
                             carry=["split", "targets"], markers=markers)
     return enc.select("doc_id", "split", "ids", "mask", "token_type_ids", "targets")
