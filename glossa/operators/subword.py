@@ -3,7 +3,8 @@
 The work is proportional to the number of *distinct* words, not tokens: the
 distinct words are encoded once by an Arrow ``pandas_udf`` (the greedy match
 is a per-word loop that has no SQL form) with the piece vocabulary shipped as
-a broadcast variable, and the result is joined back to the token rows.
+a broadcast variable, and the result is joined back to the token rows: that of
+frequent words by broadcast, so no word's tokens meet in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.operators.joins import frequent_join
+from glossa.session import landed
+
+FREQUENT = 100_000  # at most so many words' pieces are broadcast
 # Reserved piece ids.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 CONT = "##"
@@ -83,6 +88,8 @@ def subword_encode(tokens: DataFrame, pieces: DataFrame) -> DataFrame:
         longest = max(map(len, t), default=0)
         return words.map(lambda w: greedy_pieces(w, t, longest))
 
-    distinct = tokens.select("word").distinct()
-    coded = distinct.select("word", encode("word").alias("piece_ids"))
-    return tokens.join(coded, "word")
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    coded = landed(counts.select("word", "n", encode("word").alias("piece_ids")), "coded")
+    # at most FREQUENT words have so large a share of the tokens
+    share = F.lit(1 + coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // FREQUENT)
+    return frequent_join(tokens, coded.where(F.col("n") >= share).drop("n"), coded.where(F.col("n") < share).drop("n"))
