@@ -12,8 +12,9 @@ from glossa.catalog.vocab import VOCAB_CTE
 from glossa.operators import labels as OL
 from glossa.operators import splits as SP
 from glossa.operators import staged as SG
+from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
-from glossa.session import materialize, scratch_path
+from glossa.session import landed, materialize, scratch_path
 
 FEATURES, EPOCHS, PATIENCE, RATE = 2000, 6, 2, 4.0
 
@@ -23,7 +24,7 @@ def staged_run(spark, d):
     keys = C.corpus(spark, d, "lang").select("doc_id", "label")
     classes = OL.class_table(keys)
     split = SP.stratified_split(OL.attach_codes(keys, classes, with_one_hot=False), seed=C.SEED)
-    toks = C.clean_tokens(spark, d)
+    toks = tok.words_of(landed(tok.cut_documents(C.docs(spark, d)), "cut"))  # read twice
     vocab = materialize(V.vocab_topk(toks, FEATURES + 1))
     data = materialize(SG.document_features(split, toks, vocab, ["code", "split"]))
     n_classes, path = classes.count(), scratch_path(spark, "staged")

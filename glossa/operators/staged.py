@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import metrics as MT
+from glossa.operators.joins import bounded_broadcast
 from glossa.session import materialize
 
 MAX_PARAMETERS = 16 << 20  # doubles in the broadcast row: 128 MB
@@ -40,8 +41,8 @@ _HISTORY = "tag string, value double, params string, epoch int"
 
 def document_features(docs: DataFrame, tokens: DataFrame, vocab: DataFrame, carry: list[str]) -> DataFrame:
     """``(doc_id, *carry, idx)``: the ids, ascending, of the vocabulary words that each document has."""
-    known = tokens.join(vocab.select("word", "idx"), "word").groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("idx")).alias("idx"))
+    known = tokens.join(bounded_broadcast(vocab.select("word", "idx")), "word").groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("idx")).alias("idx"))
     return docs.select("doc_id", *carry).join(known, "doc_id", "left").select(
         "doc_id", *carry, F.coalesce("idx", F.array().cast("array<int>")).alias("idx"))
 
