@@ -38,9 +38,11 @@ def stream_encode(spark: SparkSession, landing: str, out: str, checkpoint: str,
     frozen = bounded_broadcast(vocab.select("word", "idx"))
 
     def encode_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select("doc_id", "text")
-        mat = E.doc_matrix(docs.select("doc_id"), tok.clean_tokens(docs), frozen, max_sentences, max_words,
-                           vocab_measured=True)
+        # a landed row is a document, also where keys repeat: which rows share a batch changes nothing
+        rows = batch.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        mat = E.doc_matrix(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("key")),
+                           tok.clean_tokens(rows, key="row"), frozen, max_sentences, max_words, carry=["key"],
+                           vocab_measured=True).select(F.col("key").alias("doc_id"), "x")
         mat.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (read_landing(spark, landing, max_files=max_files).writeStream

@@ -12,6 +12,7 @@ from glossa.operators import subword as SW
 from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
 from glossa.session import landed
+from glossa.streaming import jobs
 
 DOCS = [(1, "Alpha beta. Gamma! Alpha alpha.\nDelta beta the"), (2, "beta beta. of the. Epsilon"), (3, None), (4, ""),
         (5, "zeta. alpha zeta beta. eta theta iota. kappa. lambda")]
@@ -99,3 +100,14 @@ def test_landed_files_fill_the_cores(spark, tmp_path):
     files = [f for f in os.listdir(folder.removeprefix("file:")) if f.endswith(".parquet")]
     assert len(files) >= 4 * ST.files_at_once(spark) >= 4 * spark.sparkContext.defaultParallelism
     assert rows(spark.read.parquet(folder)) == rows(many)
+
+
+def test_rows_with_one_key_in_a_batch_stay_apart(spark, tmp_path):
+    some = spark.createDataFrame([(1, "alpha beta.", None, None, 0), (2, "beta", None, None, 0), (2, None, None, None, 0)], jobs.DOC_SCHEMA)
+    for _ in range(2):
+        some.coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    vocab = spark.createDataFrame([("alpha", 1), ("beta", 2)], "word string, idx int")
+    out = str(tmp_path / "out")
+    jobs.stream_encode(spark, str(tmp_path / "landing"), out, str(tmp_path / "ck"), vocab, 1, 3)
+    assert sorted((r["doc_id"], r["x"]) for r in spark.read.parquet(out).collect()) == (
+        2 * [(1, [[1, 2, 0]])] + 2 * [(2, [[0, 0, 0]])] + 2 * [(2, [[2, 0, 0]])])
