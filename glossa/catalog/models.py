@@ -16,7 +16,7 @@ from glossa import sqltext as S
 from glossa.catalog import register
 from glossa.catalog.metrics import report_sql
 from glossa.catalog.sqlparts import coded_cte, stratified_cte
-from glossa.catalog.vectors import max_pooled
+from glossa.catalog.vectors import cut_words, max_pooled
 from glossa.operators import bayes as NB
 from glossa.operators import labels as OL
 from glossa.operators import metrics as MT
@@ -24,7 +24,7 @@ from glossa.operators import models as MD
 from glossa.operators import splits as SP
 from glossa.operators import tokens as tok
 from glossa.operators.joins import bounded_broadcast
-from glossa.session import materialize, scratch_path
+from glossa.session import landed, materialize, scratch_path
 from glossa.sources import stores as ST
 
 LAMBDA = 0.5
@@ -53,10 +53,12 @@ def train_text_classifier(spark, d):
     return MD.predictions(model, data.where(F.col("split") == SP.TEST))
 
 
-def pooled_data(spark, d):
-    data, classes = split_corpus(spark, d)
-    feats = MD.pooled_features(max_pooled(spark, d)).join(data.select("doc_id", "label", "split"), "doc_id")
-    return feats, classes
+def pooled_data(spark, d, cut=None, split=None):
+    """(doc_id, pooled, label, split, features) and the class table. Pooled vectors are written once: a fit reads its rows
+    several times, predictions again. ``cut`` words and ``split_corpus`` may be given."""
+    data, classes = split or split_corpus(spark, d)
+    pooled = max_pooled(spark, d, cut).join(data.select("doc_id", "label", "split"), "doc_id")
+    return MD.pooled_features(landed(pooled, "pooled")), classes
 
 
 @register("train_pooled_classifier")
@@ -133,9 +135,14 @@ def soft_targets(spark, d):
 
 @register("train_student")
 def train_student(spark, d):
-    teacher, data, classes = fitted_text_model(spark, d)
-    soft = MD.soft_targets(teacher, data.where(F.col("split") == SP.TRAIN))
-    feats, _ = pooled_data(spark, d)
+    """Teacher and student read the same cut words; what the fits read again is written once."""
+    data, classes = split = split_corpus(spark, d)
+    cut = cut_words(spark, d)
+    feats, _ = pooled_data(spark, d, cut, split)
+    codes = bounded_broadcast(data.where(F.col("split") == SP.TRAIN).select("doc_id", "label"))
+    train = cut.select("doc_id", F.flatten("sents").alias("words")).join(codes, "doc_id")
+    teacher = MD.train_text_classifier(train, max_features=C.MAX_FEATURES)
+    soft = landed(MD.soft_targets(teacher, train), "soft-targets")
     n_classes = classes.count()
     student = MD.train_student(feats.where(F.col("split") == SP.TRAIN), soft, n_classes, LAMBDA)
     return MD.predictions(student, feats.where(F.col("split") == SP.TEST))

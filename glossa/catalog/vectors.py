@@ -10,9 +10,10 @@ from glossa.catalog.vocab import vocab_cte
 from glossa.functions import vectors as VX
 from glossa.operators import encode as E
 from glossa.operators import pooling as PL
+from glossa.operators import tokens as tok
 from glossa.operators import vocab as V
 from glossa.operators.joins import bounded_broadcast
-from glossa.session import materialize
+from glossa.session import landed, materialize
 from glossa.sources import tables
 
 
@@ -29,6 +30,11 @@ def context_vector(spark, d, vec_id: int) -> list[float]:
     return [float(x) for x in embeddings(spark, d).where(F.col("vec_id") == vec_id).first()["embedding"]]
 
 
+def cut_words(spark, d):
+    """Every document's clean words (``tokens.cut_documents``): texts are cut once for the vocabulary and what it is used for."""
+    return landed(tok.cut_documents(C.docs(spark, d)), "cut")
+
+
 def vocab_vec(spark, d, max_features: int, toks=None):
     toks = toks if toks is not None else C.clean_tokens(spark, d)
     full = V.vocab_rank(toks) if max_features is None else V.vocab_topk(toks, max_features)
@@ -68,15 +74,15 @@ def known_ids(toks, vcap):
 
 
 def tok_vecs(spark, d):
-    toks = C.clean_tokens(spark, d)
+    toks = tok.words_of(cut_words(spark, d))
     vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
     return PL.token_vectors(known_ids(toks, vcap), vv)
 
 
-def word_vecs(spark, d, u=None):
+def word_vecs(spark, d, u=None, cut=None):
     """(doc_id, sent_pos, idx, vec) of all known words, without their positions: nothing is sorted or
     shuffled. With a context vector ``u`` also ``score``, computed once a word of the vocabulary."""
-    toks = C.clean_tokens(spark, d)
+    toks = tok.words_of(cut_words(spark, d) if cut is None else cut)
     vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)[1]
     if u is not None:
         vv = vv.withColumn("score", PL.attention_score(F.col("vec"), u))
@@ -96,10 +102,10 @@ def token_vectors(spark, d):
     return tok_vecs(spark, d)
 
 
-def max_pooled(spark, d):
+def max_pooled(spark, d, cut=None):
     """(doc_id, pooled) for every document."""
     dim = dim_of(spark, d)
-    return PL.keep_documents(PL.max_pool(word_vecs(spark, d), dim=dim), C.docs(spark, d), dim, "pooled")
+    return PL.keep_documents(PL.max_pool(word_vecs(spark, d, cut=cut), dim=dim), C.docs(spark, d), dim, "pooled")
 
 
 @register("doc_max_pool", sql=f"""WITH {TV_SQL},

@@ -76,7 +76,8 @@ def dictionary_model(vocab: DataFrame, input_col: str, output_col: str):
 
 
 def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on ``(doc_id, label, text)`` rows (label = class code).
+    """Fit on ``(doc_id, label, text)`` rows (label = class code), or on ``(doc_id, label, words)`` where texts are cut
+    already.
 
     Same stages as :func:`text_classifier`, fitted one by one so the clean
     words are computed once (persisted, spilling to disk) instead of once per
@@ -93,8 +94,9 @@ def train_text_classifier(train: DataFrame, **kw) -> PipelineModel:
     # the driver and breaks ties arbitrarily. Collected once: it is the
     # model's parameter, bounded by vocabSize.
     cap = cv.getVocabSize()
-    words = clean.transform(labelled.select("doc_id", "label", "text")) \
-        .select("doc_id", "label", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    if "words" not in labelled.columns:
+        labelled = clean.transform(labelled.select("doc_id", "label", "text"))
+    words = labelled.select("doc_id", "label", "words").persist(StorageLevel.MEMORY_AND_DISK)
     # flat word position inside a document orders like (sentence, word)
     toks = words.select("doc_id", F.lit(0).alias("sent_pos"), F.posexplode("words").alias("word_pos", "word"))
     vocab = V.vocab_topk(toks, cap + 1)
@@ -127,8 +129,9 @@ def predictions(model, df: DataFrame, keep: list[str] | None = None) -> DataFram
 
 
 def soft_targets(teacher, train: DataFrame) -> DataFrame:
-    """(doc_id, soft_targets): the teacher's class probabilities per training row."""
-    out = teacher.transform(train)
+    """(doc_id, soft_targets): the teacher's class probabilities per training row; rows with ``words`` are cut already."""
+    cut = "words" in train.columns
+    out = (PipelineModel(stages=[s for s in teacher.stages if not isinstance(s, CleanWords)]) if cut else teacher).transform(train)
     return out.select("doc_id", vector_to_array("probability").alias("soft_targets"))
 
 
