@@ -15,6 +15,12 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pooled_rows_are_written_once(spark):
+    feats, _ = M.pooled_data(spark, SF001)
+    assert not any(x in plan_of(feats) for x in ("Aggregate", "Join", "split("))
+    assert feats.count() == M.C.docs(spark, SF001).count()
+
+
 def test_student_cuts_texts_once(spark, monkeypatch):
     seen, cut = [], tok.cut_documents
     monkeypatch.setattr(tok, "cut_documents", lambda *a, **k: (seen.append(1), cut(*a, **k))[1])
