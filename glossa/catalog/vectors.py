@@ -16,6 +16,9 @@ from glossa.operators.joins import bounded_broadcast
 from glossa.session import landed, materialize
 from glossa.sources import tables
 
+TASK_TOKENS = 4_000_000  # sorted in a task
+TASK_SENTENCES = 200_000  # summed up in a task, one vector each
+
 
 def embeddings(spark, d):
     return tables.read_table(spark, d, "embeddings", ["vec_id", "embedding"])
@@ -69,14 +72,22 @@ tid AS (SELECT tk.doc_id, tk.sent_pos,
 tv AS (SELECT t.doc_id, t.sent_pos, t.word_pos, t.idx, vv.vec FROM tid t JOIN vv ON t.idx = vv.idx)"""
 
 
-def known_ids(toks, vcap):
-    return E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True)
+def known_ids(toks, vcap, partitions=None):
+    return E.token_ids(toks, bounded_broadcast(vcap.select("word", "idx")), vocab_measured=True, partitions=partitions)
+
+
+def shares(spark, rows: int, most: int) -> int:
+    """Partitions of no more than ``most`` rows, as many for each core: adaptive execution would measure the few bytes
+    that are shuffled, not the vectors they become or that are kept for them."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(1, -(-rows // (most * cores)))
 
 
 def tok_vecs(spark, d):
     toks = tok.words_of(cut_words(spark, d))
     vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
-    return PL.token_vectors(known_ids(toks, vcap), vv)
+    known = vcap.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return PL.token_vectors(known_ids(toks, vcap, shares(spark, known, TASK_TOKENS)), vv)
 
 
 def word_vecs(spark, d, u=None, cut=None):

@@ -21,11 +21,15 @@ PAD, UNK, BEGIN, END = 0, 1, 2, 3
 RESERVED = 4
 
 
-def token_ids(tokens: DataFrame, vocab_capped: DataFrame, vocab_measured: bool = False) -> DataFrame:
+def token_ids(tokens: DataFrame, vocab_capped: DataFrame, vocab_measured: bool = False,
+              partitions: int | None = None) -> DataFrame:
     """(doc_id, sent_pos, word_pos, idx): known words only; unknown words are
-    dropped and later words move left (positions re-counted per sentence)."""
+    dropped and later words move left (positions re-counted per sentence). Rows
+    that get much longer later are dealt to a given number of ``partitions``."""
     v = _vocab_side(vocab_capped.select("word", "idx"), vocab_measured)
     known = tokens.join(v, "word")
+    if partitions is not None:
+        known = known.select("doc_id", "sent_pos", "word_pos", "idx").repartition(partitions, "doc_id", "sent_pos")
     w = Window.partitionBy("doc_id", "sent_pos").orderBy("word_pos")
     return known.select("doc_id", "sent_pos", (F.row_number().over(w) - 1).cast("int").alias("word_pos"), "idx")
 
