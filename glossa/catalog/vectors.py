@@ -90,14 +90,16 @@ def tok_vecs(spark, d):
     return PL.token_vectors(known_ids(toks, vcap, shares(spark, known, TASK_TOKENS)), vv)
 
 
-def word_vecs(spark, d, u=None, cut=None):
-    """(doc_id, sent_pos, idx, vec) of all known words, without their positions: nothing is sorted or
-    shuffled. With a context vector ``u`` also ``score``, computed once a word of the vocabulary."""
-    toks = tok.words_of(cut_words(spark, d) if cut is None else cut)
-    vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)[1]
+def word_vecs(spark, d, u=None, cut=None, partitions=None):
+    """(doc_id, sent_pos, idx, vec) of all known words, without their positions: nothing is sorted, no vector
+    shuffled. With a context vector ``u`` also ``score``, computed once a word of the vocabulary. With a number of
+    ``partitions`` they are dealt by document."""
+    cut = cut_words(spark, d) if cut is None else cut
+    vv = vocab_vec(spark, d, C.MAX_FEATURES, tok.words_of(cut))[1]
     if u is not None:
         vv = vv.withColumn("score", PL.attention_score(F.col("vec"), u))
-    return toks.select("doc_id", "sent_pos", "word").join(bounded_broadcast(vv.where(F.col("word").isNotNull())), "word").drop("word")
+    toks = tok.words_of(cut).select("doc_id", "sent_pos", "word") if partitions is None else tok.dealt_words(cut, partitions)
+    return toks.join(bounded_broadcast(vv.where(F.col("word").isNotNull())), "word").drop("word")
 
 
 def tok_scores(spark, d, u):
@@ -171,8 +173,12 @@ places AS (SELECT doc_id, CAST(unnest(range((SELECT d FROM dim))) AS INTEGER) AS
 SELECT p.doc_id, p.pos, coalesce(dv.v, 0.0::DOUBLE) AS value
 FROM places p LEFT JOIN dv ON dv.doc_id = p.doc_id AND dv.i = p.pos""")
 def attention_pool(spark, d):
-    """One row for each document and dimension."""
+    """One row for each document and dimension. Words are dealt by document before they get vectors, so that sums of
+    sentences and documents are made where their words are: no row with a vector is shuffled but a document's."""
     u_word = context_vector(spark, d, 0)
-    out = PL.attention_pool(word_vecs(spark, d, u_word), u_word, context_vector(spark, d, 1))
+    cut = cut_words(spark, d)
+    sentences = cut.agg(F.coalesce(F.sum(F.greatest(F.size("sents"), F.lit(0))), F.lit(0))).first()[0]
+    words = word_vecs(spark, d, u_word, cut, shares(spark, sentences, TASK_SENTENCES))
+    out = PL.attention_pool(words, u_word, context_vector(spark, d, 1))
     out = PL.keep_documents(out.select("doc_id", "doc_vec"), C.docs(spark, d), dim_of(spark, d), "doc_vec", "double")
     return out.select("doc_id", F.posexplode("doc_vec").alias("pos", "value"))
