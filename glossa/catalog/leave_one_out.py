@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from glossa.catalog import common as C
 from glossa.catalog import register
-from glossa.catalog.vectors import TV_SQL, vocab_vec
+from glossa.catalog.vectors import TASK_TOKENS, TV_SQL, cut_words, shares, vocab_vec
 from glossa.operators import leave_one_out as LO
+from glossa.operators import tokens as tok
 from glossa.operators.joins import bounded_broadcast
 
 
@@ -20,7 +21,10 @@ t2 AS (SELECT td.doc_id, td.i, any_value(t) AS t, count(*) FILTER (v = t) AS n,
 SELECT td.doc_id, td.idx, round(sum(greatest(t, 0) - greatest(CASE WHEN v = t AND n = 1 THEN coalesce(s, 0) ELSE t END, 0)), 6) AS importance
 FROM td JOIN t2 ON t2.doc_id = td.doc_id AND t2.i = td.i GROUP BY td.doc_id, td.idx""")
 def leave_one_out(spark, d):
-    toks = C.clean_tokens(spark, d)
-    vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, toks)
-    ids = toks.select("doc_id", "word").join(bounded_broadcast(vcap.select("word", "idx")), "word")
-    return LO.importance(ids, vv).select("doc_id", "idx", F.round("importance", 6).alias("importance"))
+    cut = cut_words(spark, d)
+    vcap, vv = vocab_vec(spark, d, C.MAX_FEATURES, tok.words_of(cut))
+    known = vcap.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    said = cut.select("doc_id", F.explode(F.array_distinct(F.flatten("sents"))).alias("word"))
+    ids = said.join(bounded_broadcast(vcap.select("word", "idx")), "word")
+    return LO.importance(ids, vv, shares(spark, known, TASK_TOKENS)).select(
+        "doc_id", "idx", F.round("importance", 6).alias("importance"))
